@@ -6,7 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slackline.llm import mixing, quality_ranker, quality_rules, warc
+from slackline.llm import mixing, packing, quality_ranker, quality_rules, token_counts, warc
+
+
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    """Path of a public tokenizer file on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,7 +37,15 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_verdicts(_table(spark, sf_dir, "documents"))
 
 
+def op9_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op10_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), vocabulary())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_ranker, op2_poisson_mixing, op3_warc_revisits, op8_quality_rules)
+    f.__name__: f for f in (op1_quality_ranker, op2_poisson_mixing, op3_warc_revisits, op8_quality_rules, op9_prefix_token_counts, op10_bin_slack_packing)
 }
 ORACLES: dict[str, str] = {"op2_poisson_mixing": mixing.ORACLE, "op3_warc_revisits": warc.ORACLE}
