@@ -1 +1 @@
-
+"""Column expressions: clocks, geometry, cleaning and delay distributions."""

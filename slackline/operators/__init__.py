@@ -1 +1 @@
-
+"""Operators on DataFrames: timetables, features, journeys, routes, evaluation, models and upkeep."""
