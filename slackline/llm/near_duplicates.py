@@ -35,13 +35,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from slackline.llm import storage
+from slackline.llm import membership, storage
 from slackline.llm.components import components
 from slackline.llm.frames import map_texts
 from slackline.llm.textstats import utf8
 
 #: Members of a block when what is left of a bucket is compared.
-BLOCK = 192
+BLOCK = 512
 
 
 @dataclass(frozen=True)
@@ -132,9 +132,10 @@ def _agreeing(pairs: DataFrame, signatures: DataFrame, p: NearParameters) -> Dat
 
 
 def _sets(nodes: DataFrame, texts: DataFrame, p: NearParameters) -> DataFrame:
-    """(node, set) of the given nodes. texts: (node, text)."""
+    """(node, set) of the given nodes, and perhaps of a few others. texts: (node, text) of all documents, which aren't shuffled."""
     field = T.StructField("set", T.ArrayType(T.LongType()))
-    return storage.written(map_texts(texts.join(nodes, "node", "left_semi"), "text", [field], lambda: lambda t: (np.sort(shingles(t, p.words).view(np.int64)).tolist(),), ["node"]), "near-sets")
+    wanted = membership.likely(texts, "node", membership.bitmap(nodes, "node"))
+    return storage.written(map_texts(wanted, "text", [field], lambda: lambda t: (np.sort(shingles(t, p.words).view(np.int64)).tolist(),), ["node"]), "near-sets")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, p: NearParameters) -> DataFrame:
@@ -223,14 +224,17 @@ def _placed(rows: DataFrame, texts_of: DataFrame, p: NearParameters) -> DataFram
     nodes = storage.written(nodes.groupBy("digest", "node").agg(F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"), F.first("signature").alias("signature")), "near-nodes")
 
     buckets = nodes.select(F.explode("keys").alias("key"), "node")
-    shared = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("n0"), F.max("node").alias("n1")).filter("n0 <> n1").select("key", "n")
-    members = storage.written(buckets.join(shared, "key").distinct(), "near-members")
-    company = members.groupBy("node").agg(F.sum("n").alias("company"))
+    shared = buckets.groupBy("key").agg(F.min("node").alias("n0"), F.max("node").alias("n1")).filter("n0 <> n1").select("key")
+    shared = storage.written(shared, "near-shared")
+    inside = membership.likely(buckets, "key", membership.bitmap(shared, "key"))
+    members = storage.written(inside.join(shared, "key").distinct(), "near-members")
+    nodes = storage.written(membership.likely(nodes, "node", membership.bitmap(members, "node")).select("node", "n_shingles", "keys", "signature"), "near-candidates")
+    company = members.join(members.groupBy("key").agg(F.count("*").alias("n")), "key").groupBy("node").agg(F.sum("n").alias("company"))
     hubs = members.join(company, "node").groupBy("key").agg(F.max_by("node", F.struct("company", -F.col("node"))).alias("hub"))
     spokes = members.join(hubs, "key").filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     spokes = storage.written(spokes, "near-spokes")
 
-    texts = texts_of.join(same.select("node").distinct(), F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), F.col("_text").alias("text"))
+    texts = texts_of.select(F.col("doc_id").alias("node"), F.col("_text").alias("text"))
     links = _verified(_agreeing(spokes, nodes, p), texts, p)
     # one id may have rows with different sets: their nodes are one document
     held = taking_part.select("doc_id", "digest").join(same, "digest").select("doc_id", "node").distinct()
