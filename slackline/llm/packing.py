@@ -41,25 +41,47 @@ WINDOW = 4096
 END_ID = 2
 #: Rows of one length that are numbered together.
 CHUNK = 200
-#: Chunks of text whose ids a worker remembers at most, each about 200 bytes.
-MEMORY = 500_000
+#: Chunks of text in a generation of those whose ids a worker remembers, each about 200 bytes.
+MEMORY = 600_000
+#: Punctuation that ends words.
+MARKS = ".,;:!?%$&#*|()-\""
 
 
 class Encoder:
-    """Token ids of whole texts by the tokenizers library, which is asked for each chunk once."""
+    """Token ids of whole texts by the tokenizers library, which is asked for each word once as long as it is remembered.
+
+    Two generations of chunks are remembered: what was met since the last turn, and what was met before.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self._library = Tokenizer.from_file(path)
-        self._known: dict[str, bytes] = {"": b""}
+        self._young: dict[str, bytes] = {"": b""}
+        self._old: dict[str, bytes] = {}
+
+    def _asked(self, unknown: list[str]) -> dict[str, bytes]:
+        """The ids of each, remembered or by the library."""
+        found = {c: ids for c in unknown if (ids := self._young.get(c) or self._old.get(c)) is not None}
+        rest = [c for c in unknown if c not in found]
+        encoded = self._library.encode_batch(rest, add_special_tokens=False) if rest else []
+        found.update({c: pack(f"<{len(e.ids)}I", *e.ids) for c, e in zip(rest, encoded, strict=True)})
+        return found
 
     def _learn(self, unknown: list[str]) -> dict[str, bytes]:
-        found = {c: pack(f"<{len(e.ids)}I", *e.ids) for c, e in zip(unknown, self._library.encode_batch(unknown, add_special_tokens=False), strict=True)}
-        if len(self._known) > MEMORY:
-            self._known = {"": b""}
-        self._known.update({c: ids for c, ids in found.items() if len(c) <= LONGEST_KEY})
+        whole, ends = [], {}
+        for c in unknown:
+            word = c.rstrip(MARKS)
+            if word and word != c and word.isalpha() and max(word) <= "ÿ":  # letters and the marks after them are never one token
+                ends[c] = word, c[len(word) :]
+            else:
+                whole.append(c)
+        found = self._asked(list(dict.fromkeys([*whole, *(part for pair in ends.values() for part in pair)])))
+        found.update({c: found[word] + found[marks] for c, (word, marks) in ends.items()})
+        if len(self._young) > MEMORY:
+            self._young, self._old = {"": b""}, self._young
+        self._young.update({c: ids for c, ids in found.items() if len(c) <= LONGEST_KEY})
         return found
 
     def encode(self, text: str | None) -> bytes:
@@ -72,7 +94,7 @@ class Encoder:
         except UnicodeEncodeError:
             pass
         parts = chunks(text)
-        got = list(map(self._known.get, parts))
+        got = list(map(self._young.get, parts))
         if None in got:
             found = self._learn(list(dict.fromkeys([c for c, ids in zip(parts, got, strict=True) if ids is None])))
             got = [found[c] if ids is None else ids for c, ids in zip(parts, got, strict=True)]
