@@ -18,7 +18,7 @@ def levels_column() -> Column:
 def confidence(q: Column) -> Column:
     """A share between 0 and 1 from a share or a percentage; the default for null."""
     share = F.when(q > 1, q / 100.0).otherwise(q.cast("double"))
-    return F.coalesce(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)), F.lit(DEFAULT_Q))
+    return F.when(share.isNull(), F.lit(DEFAULT_Q)).otherwise(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)))
 
 
 def clean(quantiles: Column) -> Column:

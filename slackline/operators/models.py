@@ -75,21 +75,32 @@ class QuantileModel:
         return cls([(list(k), spark.read.parquet(f"{path}/level{i}")) for i, k in enumerate(key_sets)], spark.read.parquet(f"{path}/whole"))
 
 
-def pinball_linear(train: DataFrame, features: Sequence[str], label: str, q: float, rounds: int = 30, rate: float = 0.5) -> list[float]:
-    """Coefficients (the intercept last) of a linear quantile regression by subgradient steps, each one aggregation to a few sums."""
-    stats = train.agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m_{c}") for c in features], *[F.stddev(c).alias(f"s_{c}") for c in features], F.percentile_approx(label, F.lit(q), F.lit(10_000)).alias("start"), F.stddev(label).alias("spread")).first()
-    if not stats["n"]:
-        return [0.0] * (len(features) + 1)
-    scaled = train.select(F.col(label).cast("double").alias("_y"), *[((F.col(c) - F.lit(stats[f"m_{c}"])) / F.lit(stats[f"s_{c}"] or 1.0)).alias(c) for c in features])
-    w = [0.0] * len(features) + [float(stats["start"])]
-    for k in range(rounds):
-        predicted = sum((F.lit(a) * F.col(c) for a, c in zip(w, features, strict=False)), F.lit(w[-1]))
-        pull = F.when(F.col("_y") >= predicted, F.lit(q)).otherwise(F.lit(q - 1))
-        g = scaled.agg(*[F.avg(pull * F.col(c)) for c in features], F.avg(pull)).first()
-        step = rate * float(stats["spread"] or 1.0) / (1 + k) ** 0.5
-        w = [a + step * float(b) for a, b in zip(w, g, strict=True)]
-    slopes = [a / (stats[f"s_{c}"] or 1.0) for a, c in zip(w, features, strict=False)]
-    return [*slopes, w[-1] - sum(a * stats[f"m_{c}"] for a, c in zip(slopes, features, strict=True))]
+def pinball_linear(train: DataFrame, features: Sequence[str], label: str, q: float, rounds: int = 25, least: float = 1e-3) -> list[float]:
+    """Coefficients (the intercept last) of a linear quantile regression.
+
+    Iteratively reweighted least squares: a residual r weighs q / |r| above the line and (1 - q) / |r|
+    below it, which makes the square loss the pinball loss. A round is one aggregation to the sums of
+    the normal equations; the driver solves a system as wide as the features.
+    """
+    import numpy as np
+
+    names = [*features, "_one"]
+    rows = train.select(F.col(label).cast("double").alias("_y"), *[F.col(c).cast("double").alias(c) for c in features], F.lit(1.0).alias("_one"))
+    w = None
+    for _ in range(rounds):
+        rest = F.lit(0.0) if w is None else F.col("_y") - sum((F.lit(float(a)) * F.col(c) for a, c in zip(w, names, strict=True)), F.lit(0.0))
+        weight = F.lit(1.0) if w is None else F.when(rest >= 0, F.lit(q)).otherwise(F.lit(1 - q)) / F.greatest(F.abs(rest), F.lit(least))
+        sums = [F.sum(weight * F.col(a) * F.col(b)) for i, a in enumerate(names) for b in names[i:]] + [F.sum(weight * F.col(a) * F.col("_y")) for a in names]
+        found = rows.agg(*sums).first()
+        if found[0] is None:
+            return [0.0] * len(names)
+        left, k = np.zeros((len(names),) * 2), 0
+        for i in range(len(names)):
+            for j in range(i, len(names)):
+                left[i, j] = left[j, i] = found[k]
+                k += 1
+        w = np.linalg.lstsq(left, np.array(found[k:], float), rcond=None)[0]
+    return [float(a) for a in w]
 
 
 def cross_validate(rows: DataFrame, fold: str, pipelines: dict[str, Pipeline], label: str) -> DataFrame:

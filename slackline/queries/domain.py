@@ -206,7 +206,7 @@ def d15_clean_quantiles(spark, d):
     return read(spark, d, "part").select("p_partkey", F.get(c, F.lit(0)).alias("first"), F.get(c, F.lit(6)).alias("last"))
 
 
-@query("SELECT p_partkey, coalesce(least(greatest(CASE WHEN x > 1 THEN x / 100.0 ELSE x END, 0.0), 1.0), 0.75)::DOUBLE AS q FROM (SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN NULL ELSE (p_size * 3 - 6)::DOUBLE END AS x FROM part)")
+@query("SELECT p_partkey, CASE WHEN x IS NULL THEN 0.75 ELSE least(greatest(CASE WHEN x > 1 THEN x / 100.0 ELSE x END, 0.0), 1.0) END::DOUBLE AS q FROM (SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN NULL ELSE (p_size * 3 - 6)::DOUBLE END AS x FROM part)")
 def d16_normalize_q(spark, d):
     x = F.when(F.col("p_size") % 5 != 0, (F.col("p_size") * 3 - 6).cast("double"))
     return read(spark, d, "part").select("p_partkey", Q.confidence(x).alias("q"))
