@@ -22,7 +22,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -178,15 +178,19 @@ def personal_spans(df: DataFrame, text: str = "text", carry: Iterable[str] = ("d
     return joined.select(*[F.col(o).alias(c) for c, o in zip(carry, own, strict=True)], F.sort_array(base).alias("base"), F.coalesce("_added", none).alias("added"))
 
 
-def _joined(spans) -> F.Column:
+def _joined(spans) -> Column:
     name = F.array(*[F.lit(k) for k in KINDS])
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(name, (s["kind"] + 1).cast("int")), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _count(spans: Column, kind: int) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def span_digests(df: DataFrame) -> DataFrame:
     """doc_id, the number of base spans of each kind, base_sha256 and spans."""
     spans = personal_spans(df)
-    number = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    number = [_count(F.col("base"), k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     every = F.sort_array(F.concat("base", "added"))
     return spans.select("doc_id", *number, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(every).alias("spans"))
 
