@@ -34,10 +34,6 @@ def at_level(quantiles: Column, q: Column) -> Column:
     return F.when(place > 0, F.get(quantiles, place - 1)).otherwise(F.try_element_at(quantiles, F.lit(-1)))
 
 
-def _points(quantiles: Column) -> Column:
-    return F.arrays_zip(quantiles.alias("x"), levels_column().alias("p"))
-
-
 def _line(x: Column, x0: Column, p0: Column, x1: Column, p1: Column) -> Column:
     return p0 + (x - x0) / F.nullif(x1 - x0, F.lit(0.0)) * (p1 - p0)
 
@@ -54,22 +50,45 @@ def chance_within(quantiles: Column, headway: Column) -> Column:
     return F.when(headway <= get(0), first).otherwise(chance)
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value worked out once: a column expression that is used several times would be copied."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def points(quantiles: Column) -> Column:
+    """(x, p) of a distribution for chance_from(): quantiles below 0 count as 0, missing ones go with their level,
+    and equal quantiles count with their highest level. Null without any."""
+    pairs = F.filter(F.arrays_zip(quantiles.alias("x"), levels_column().alias("p")), lambda v: v["x"].isNotNull() & ~F.isnan(v["x"]) & v["p"].isNotNull())
+
+    def ordered(s):
+        return F.zip_with(F.array_sort(F.transform(s, lambda v: F.greatest(v["x"].cast("double"), F.lit(0.0)))), F.transform(s, lambda v: v["p"]), lambda x, p: F.struct(x.alias("x"), p.alias("p")))
+
+    once = let(let(pairs, ordered), lambda z: F.filter(z, lambda v, i: F.coalesce(F.get(z, i + 1)["x"] != v["x"], F.lit(True))))
+    return F.when(F.size(once) > 0, once)
+
+
+def chance_from(known: Column, headway: Column) -> Column:
+    """P(delay <= headway) from points(): 0 for a negative headway, 0.5 without points; straight between points and
+    from 0 to the first one, and the last slope goes on beyond the last one."""
+
+    def read(s):
+        k, first, last = s["k"], F.get(s["pts"], F.lit(0)), F.try_element_at(s["pts"], F.lit(-1))
+        before, left, right, h = F.get(s["pts"], F.size(s["pts"]) - 2), F.get(s["pts"], s["k"] - 1), F.get(s["pts"], s["k"]), s["h"]
+        beyond = F.when(F.size(s["pts"]) > 1, last["p"] + (last["p"] - before["p"]) / (last["x"] - before["x"]) * (h - last["x"])).otherwise(F.lit(1.0))
+        inner = F.when(h <= first["x"], F.when(first["x"] == 0, first["p"]).otherwise(h / first["x"] * first["p"]))
+        inner = inner.when(k >= F.size(s["pts"]), beyond).otherwise(left["p"] + (h - left["x"]) / (right["x"] - left["x"]) * (right["p"] - left["p"]))
+        return F.when(h < 0, F.lit(0.0)).when(s["pts"].isNull(), F.lit(UNKNOWN)).otherwise(F.least(F.greatest(inner, F.lit(0.0)), F.lit(1.0)))
+
+    def count(s):
+        k = F.aggregate(s["pts"], F.lit(0), lambda n, pt: n + F.when(pt["x"] <= s["h"], F.lit(1)).otherwise(F.lit(0)))
+        return F.struct(s["pts"].alias("pts"), s["h"].alias("h"), k.alias("k"))
+
+    return let(let(F.struct(known.alias("pts"), headway.cast("double").alias("h")), count), read)
+
+
 def chance_extrapolated(quantiles: Column, headway: Column) -> Column:
-    """P(delay <= headway) as routes are judged: 0 for a negative headway, 0.5 without a distribution, equal
-    quantiles count with their highest level, and the last slope goes on beyond the last one."""
-    known = F.filter(quantiles, lambda v: v.isNotNull() & ~F.isnan(v))
-    sound = F.array_sort(F.transform(known, lambda v: F.greatest(v.cast("double"), F.lit(0.0))))
-    levels = F.filter(levels_column(), lambda p, i: ~F.coalesce(F.get(quantiles, i).isNull() | F.isnan(F.get(quantiles, i)), F.lit(True)))
-    zipped = F.zip_with(sound, levels, lambda v, p: F.struct(v.alias("x"), p.alias("p")))
-    points = F.filter(zipped, lambda pt, i: F.coalesce(F.get(zipped, i + 1)["x"] != pt["x"], F.lit(True)))
-    first, last, before = F.get(points, F.lit(0)), F.try_element_at(points, F.lit(-1)), F.get(points, F.size(points) - 2)
-    low = F.filter(points, lambda pt: pt["x"] <= headway)
-    left, right = F.try_element_at(low, F.lit(-1)), F.get(points, F.size(low))
-    beyond = F.when(F.size(points) > 1, last["p"] + (last["p"] - before["p"]) / (last["x"] - before["x"]) * (headway - last["x"])).otherwise(F.lit(1.0))
-    inner = F.when(headway <= first["x"], F.when(first["x"] == 0, first["p"]).otherwise(headway / first["x"] * first["p"]))
-    inner = inner.when(headway >= last["x"], beyond).otherwise(_line(headway, left["x"], left["p"], right["x"], right["p"]))
-    none = quantiles.isNull() | (F.size(sound) == 0)
-    return F.when(headway < 0, F.lit(0.0)).when(none, F.lit(UNKNOWN)).otherwise(F.least(F.greatest(inner, F.lit(0.0)), F.lit(1.0)))
+    """P(delay <= headway) as routes are judged."""
+    return chance_from(points(quantiles), headway)
 
 
 def pinball(y: Column, p: Column, q: float) -> Column:

@@ -12,20 +12,24 @@ STEPS = "array<struct<type:string,trip_id:string,line_text:string,from_stop:int,
 
 
 def ride_headways(steps: Column, deadline: Column) -> Column:
-    """(step_index, headway_sec, probability) of each ride: time to the next ride or the deadline, less the walks between."""
-    n = F.size(steps)
-
-    def judge(s, i):
-        rest = F.slice(steps, i + 2, F.greatest(n - i - 1, F.lit(0)))
-        later = F.filter(rest, lambda x: x["type"] == "ride")
-        next_place = F.array_position(F.transform(rest, lambda x: x["type"] == "ride"), True).cast("int")
-        walks = F.when(next_place > 0, F.slice(rest, 1, F.greatest(next_place - 1, F.lit(0)))).otherwise(rest)
-        walked = F.aggregate(walks, F.lit(0.0), lambda a, x: a + F.coalesce(x["duration_sec"], F.lit(0)))
-        limit = F.when(F.size(later) > 0, F.get(later, F.lit(0))["departure_secs"]).otherwise(deadline)
-        headway = limit.cast("double") - walked - s["arrival_secs"]
-        return F.struct(i.alias("step_index"), s["type"].alias("type"), headway.alias("headway_sec"), Q.chance_extrapolated(s["quantiles"], headway).alias("probability"))
-
-    return F.filter(F.transform(steps, judge), lambda x: x["type"] == "ride")
+    """(step_index, headway_sec, probability) of each ride: time to the next ride or the deadline, less the walks between.
+
+    One pass from the last step to the first carries the limit (the next ride's departure or the
+    deadline) and the walks since; rides are put in front of what was found.
+    """
+    found = "array<struct<step_index:int,headway_sec:double,probability:double>>"
+    start = F.struct(deadline.cast("double").alias("limit"), F.lit(0.0).alias("walked"), F.array().cast(found).alias("rides"))
+
+    def back(state, s):
+        step = s["step"]
+        headway = state["limit"] - state["walked"] - step["arrival_secs"]
+        ride = F.struct(s["i"].alias("step_index"), headway.alias("headway_sec"), Q.chance_from(Q.points(step["quantiles"]), headway).alias("probability"))
+        after = F.struct(step["departure_secs"].cast("double").alias("limit"), F.lit(0.0).alias("walked"), F.concat(F.array(ride), state["rides"]).alias("rides"))
+        on_foot = F.struct(state["limit"].alias("limit"), (state["walked"] + F.coalesce(step["duration_sec"], F.lit(0))).alias("walked"), state["rides"].alias("rides"))
+        return F.when(step["type"] == "ride", after).otherwise(on_foot)
+
+    numbered = F.reverse(F.transform(steps, lambda x, i: F.struct(i.alias("i"), x.alias("step"))))
+    return F.aggregate(numbered, start, back, lambda state: state["rides"])
 
 
 def confidence(steps: Column, deadline: Column) -> Column:
