@@ -6,6 +6,8 @@ and read again as the next stage's documents.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from slackline.llm import mixing, near_duplicates, packing, personal_data, quality_rules, storage
@@ -41,7 +43,24 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, vocabulary())
 
 
-STAGES = [(f.__name__, shipped(f)) for f in (keep_good, keep_one_of_each_group, mask_personal_data, mix, pack)]
+_tables: list[str] = []
+
+
+def _alone(stage):
+    """The stage, which first removes the tables of those before it: their results have been written and are its documents."""
+
+    @functools.wraps(stage)
+    def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        storage.forget(spark, _tables, docs)
+        place = storage.mark()
+        result = stage(spark, docs, sf_dir)
+        _tables[:] = storage.since(place)
+        return result
+
+    return call
+
+
+STAGES = [(f.__name__, shipped(_alone(f))) for f in (keep_good, keep_one_of_each_group, mask_personal_data, mix, pack)]
 
 #: Weak supervision, signatures and subset sums aren't expressed in SQL; tests hold each stage against a plain version.
 ORACLE_SQL = None

@@ -14,40 +14,56 @@ from pyspark.sql.pandas.types import to_arrow_schema
 SLICE_BYTES = 8 << 20
 
 
-def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch of about SLICE_BYTES of text each, one row at least."""
-    column = batch.column(batch.schema.get_field_index(text))
+def parts(column: pa.Array) -> Iterator[pa.Array]:
+    """Parts of a column of about SLICE_BYTES each, one value at least."""
     if column.nbytes <= SLICE_BYTES or len(column) < 2:
-        yield batch
+        yield column
         return
     half = len(column) // 2
-    yield from slices(batch.slice(0, half), text)
-    yield from slices(batch.slice(half), text)
+    yield from parts(column.slice(0, half))
+    yield from parts(column.slice(half))
+
+
+def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about SLICE_BYTES of text each, one row at least."""
+    at = 0
+    for part in parts(batch.column(batch.schema.get_field_index(text))):
+        yield batch.slice(at, len(part))
+        at += len(part)
 
 
 def map_texts(df: DataFrame, text: str, fields: list[T.StructField], start: Callable[[], Callable[[str | None], tuple]], keep: Iterable[str]) -> DataFrame:
     """``keep`` columns of ``df`` and, after them, what the function made of each text.
 
-    start() runs once a task and returns the function, which gets a text (or null)
-    and returns a tuple of the new columns' values. One row in, one row out.
+    start() runs once a task and returns the function, which gets a text (or null) and returns a
+    tuple of the new columns' values. One row in, one row out. Only the text goes to Python and only
+    the new columns come back; the kept ones wait in the JVM, which spills them if it must.
     """
-    keep = list(keep)
-    source = df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text])])
-    kept_types = [source.schema[c] for c in keep]
-    schema = T.StructType([*kept_types, *fields])
+    schema = T.StructType(fields)
     arrow = to_arrow_schema(schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         function = start()
-        for whole in batches:
-            for batch in slices(whole, text):
-                names = batch.schema.names
-                made = [function(x) for x in batch.column(names.index(text)).to_pylist()]
-                columns = [batch.column(names.index(c)).cast(arrow.field(i).type) for i, c in enumerate(keep)]
-                columns += [pa.array([row[k] for row in made], arrow.field(len(keep) + k).type) for k in range(len(fields))]
-                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
-
-    return source.mapInArrow(run, schema)
+        for column in columns:
+            made = [pa.array([], pa.struct(arrow))]
+            for part in parts(column):
+                rows = [function(x) for x in part.to_pylist()]
+                made.append(pa.StructArray.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(arrow)], fields=list(arrow)))
+            yield pa.concat_arrays(made)
+
+    of = F.arrow_udf(run, schema)
+    kept = [F.col(f"`{c}`") for c in keep]
+    return df.select(*kept, of(F.col(f"`{text}`")).alias("_made")).select(*kept, "_made.*")
+
+
+def internal(df: DataFrame, text: str, carry: list[str]) -> tuple[DataFrame, list[str], str]:
+    """The ``carry`` columns and the text under names that can't clash: the frame, the carried columns' names and the text's.
+    A text that is carried isn't there twice."""
+    own = [f"_c{i}" for i in range(len(carry))]
+    columns = [(F.col(f"`{c}`").cast("string") if c == text else F.col(f"`{c}`")).alias(o) for c, o in zip(carry, own, strict=True)]
+    if text in carry:
+        return df.select(*columns), own, own[carry.index(text)]
+    return df.select(*columns, F.col(f"`{text}`").cast("string").alias("_text")), own, "_text"
 
 
 def long_fields(*names: str) -> list[T.StructField]:

@@ -267,10 +267,10 @@ def deduplicate(docs: DataFrame, parameters: NearParameters, text: str = "text")
     Rows with a null id stay."""
     columns = docs.columns
     own = [f"_d{i}" for i in range(len(columns))]
-    named = docs.toDF(*own)
-    named = named.select("*", F.col(own[columns.index("doc_id")]).cast("long").alias("doc_id"), F.col(own[columns.index(text)]).cast("string").alias("_text"))
-    rows = _sketched(named, "_text", parameters, [*own, "doc_id"])
-    placed = storage.written(_placed(rows, rows.select("doc_id", F.col(own[columns.index(text)]).cast("string").alias("_text")), parameters), "near-placed")
+    of = own[columns.index(text)]
+    named = docs.toDF(*own).withColumn(of, F.col(of).cast("string")).withColumn("doc_id", F.col(own[columns.index("doc_id")]).cast("long"))
+    rows = _sketched(named, of, parameters, [*own, "doc_id"])
+    placed = storage.written(_placed(rows, rows.select("doc_id", F.col(of).alias("_text")), parameters), "near-placed")
     first = placed.groupBy("component_id").agg(F.min(F.struct("doc_id", "_row")).alias("_first"))
     gone = placed.join(first, "component_id").filter(F.col("_row") != F.col("_first")["_row"]).select("_row")
     gone = storage.written(gone, "near-gone")  # its size is known when the join is planned

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slackline.llm import storage
-from slackline.llm.frames import map_texts
+from slackline.llm.frames import internal, map_texts
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
@@ -163,10 +163,9 @@ def discover(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 def personal_spans(df: DataFrame, text: str = "text", carry: Iterable[str] = ("doc_id",)) -> DataFrame:
     """The ``carry`` columns with base and added, two arrays of (kind, start, end) by kind and start."""
     carry = list(carry)
-    own = [f"_c{i}" for i in range(len(carry))]
-    named = df.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(carry, own, strict=True)], F.col(f"`{text}`").cast("string").alias("_text"))
+    named, own, of = internal(df, text, carry)
     fields = [T.StructField("_mentions", T.ArrayType(_MENTION))]
-    rows = storage.written(map_texts(named, "_text", fields, lambda: mentions, own).withColumn("_row", F.monotonically_increasing_id()), "pii-mentions")
+    rows = storage.written(map_texts(named, of, fields, lambda: mentions, own).withColumn("_row", F.monotonically_increasing_id()), "pii-mentions")
     each = rows.filter(F.size("_mentions") > 0).select("_row", F.inline("_mentions"))
     found = storage.written(discover(each.select("value", "kind", "may", "patterns")), "pii-found")
     added = each.filter("kind is null").join(found, "value").filter(F.array_contains("may", F.col("found")))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slackline.llm import storage, textstats
-from slackline.llm.frames import long_fields, map_texts
+from slackline.llm.frames import internal, long_fields, map_texts
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -110,10 +110,9 @@ def quality_verdicts(df: DataFrame, text: str = "text", carry: Iterable[str] = (
     """The ``carry`` columns with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, quality (the posterior) and kept. Fits on all rows of ``df``."""
     carry = list(carry)
-    own = [f"_c{i}" for i in range(len(carry))]
-    named = df.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(carry, own, strict=True)], F.col(f"`{text}`").cast("string").alias(_PREFIX + "text"))
+    named, own, of = internal(df, text, carry)
     fields = [T.StructField(_PREFIX + f.name, f.dataType) for f in long_fields(*textstats.FIELDS)]
-    counted = storage.written(map_texts(named, _PREFIX + "text", fields, lambda: textstats.counts, own), "quality-counts")
+    counted = storage.written(map_texts(named, of, fields, lambda: textstats.counts, own), "quality-counts")
     votes = rules()
     names = list(votes)
     voted = counted.select(*[v.alias(k) for k, v in votes.items()])

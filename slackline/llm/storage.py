@@ -52,6 +52,26 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def mark() -> int:
+    """A place in the list of tables, for since()."""
+    return len(_written)
+
+
+def since(place: int) -> list[str]:
+    """Paths of the tables made after mark() gave the place."""
+    return [path for _, path in _written[place:]]
+
+
+def forget(spark: SparkSession, paths: list[str], needed: DataFrame) -> None:
+    """Remove tables whose reader has been written elsewhere, but none that ``needed`` is still read from."""
+    in_use = needed.inputFiles() if paths else []
+    plain = lambda p: p.split(":", 1)[-1].lstrip("/")  # noqa: E731  file:/a and file:///a are the same place
+    for path in paths:
+        if not any(plain(f).startswith(plain(path)) for f in in_use):
+            delete(spark, path)
+            _written[:] = [x for x in _written if x[1] != path]
+
+
 @atexit.register
 def release() -> None:
     """Remove every intermediate table of this driver."""
