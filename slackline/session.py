@@ -11,6 +11,8 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
+#: Bytes of rows that go to Python at a time. Spark's own limit of 64 MB, held on both sides by every core, is much of a small executor.
+BATCH_BYTES, SPARKS_BATCH_BYTES = 16 << 20, 64 << 20
 _shipped: set[str] = set()
 
 
@@ -29,7 +31,10 @@ def local_session(cores: str | int = "*", partitions: int = 8, **settings: str)
 
 
 def ship(spark: SparkSession) -> None:
-    """Make the package importable in Python workers, once an application."""
+    """Make the package importable in Python workers, once an application, and keep batches small unless the session says how large."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).removesuffix("b")) == SPARKS_BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
