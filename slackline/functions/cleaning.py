@@ -7,9 +7,24 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The classes that records are read into.
-PRODUCT_OF_CODE = {"B": "BUS", "T": "TRAM", "Z": "TRAIN", "M": "METRO", "S": "SHIP", "C": "CABLEWAY"}
-TIME_OF_DAY = (("early_morning", 4, 6), ("morning_peak", 6, 9), ("midday", 9, 16), ("evening_peak", 16, 19), ("evening", 19, 22), ("night", 22, 28))
+# Transport codes and the products and groups they are read into, times of day, limits in seconds.
+PRODUCTS = {
+    "BUS": ("CAR", "EV", "KB", "B", "EXB", "BN", "BP", "RUB"),
+    "TRAM": ("T",),
+    "METRO": ("M",),
+    "SCHIFF": ("BAT", "FAE"),
+    "ZAHNRADBAHN": ("GB", "PB", "SL", "ASC", "FUN", "CC"),
+    "ZUG": ("ZUG", "TGV", "EST", "IC", "ICE", "RJX", "EC", "IR", "IRE", "ATZ", "ARZ", "NJ", "EN", "RB", "TER", "RE", "R", "PE", "S", "SN", "EXT"),
+}
+MODE_GROUPS = {
+    "Train": ("ZUG", "IC", "ICE", "IR", "RE", "S", "SN", "R", "RB", "TGV", "EC", "IRE", "RJX", "NJ", "EN", "EST", "PE", "ATZ", "ARZ", "TER", "EXT"),
+    "Bus": ("BUS", "CAR", "EV", "KB", "B", "EXB", "BN", "BP", "RUB"),
+    "Tram": ("T", "TRAM"),
+    "Metro": ("M", "METRO"),
+    "Ship": ("BAT", "FAE", "SCHIFF"),
+    "Other": ("GB", "PB", "SL", "ASC", "FUN", "CC"),
+}
+TIME_OF_DAY = (("early_morning", 4, 6), ("morning_rush", 6, 9), ("midday", 9, 16), ("evening_rush", 16, 19), ("evening", 19, 22), ("night", 22, 28))
 TIGHTNESS = (("tight", 300), ("normal", 900))
 DELAY_CLASSES = (("on_time", 60), ("minor", 300), ("moderate", 600))
 
@@ -35,15 +50,17 @@ def present(c: Column) -> Column:
     return c.isNotNull() & (F.trim(c) != "")
 
 
-def product(code: Column) -> Column:
-    up = F.upper(F.trim(code))
-    up = F.when(up == "BUS", F.lit("B")).otherwise(up)
-    return choose([(up == k, v) for k, v in PRODUCT_OF_CODE.items()], up)
+def product(transport: Column, product_id: Column) -> Column:
+    """The product that a transport code stands for, else the record's own product."""
+    code, own = F.upper(F.trim(transport)), F.upper(F.trim(product_id))
+    code = F.when(code == "BUS", F.lit("B")).otherwise(code)
+    return choose([(code.isin(*codes), name) for name, codes in PRODUCTS.items()], own)
 
 
-def mode_group(transport: Column, groups: dict[str, list[str]], default: str = "Other") -> Column:
-    up = F.upper(F.trim(transport))
-    return F.when(~present(transport) | transport.isNull(), F.lit("Unknown")).otherwise(choose([(up.isin(*codes), name) for name, codes in groups.items()], F.lit(default)))
+def mode_group(transport: Column, groups: dict[str, tuple[str, ...]] = MODE_GROUPS) -> Column:
+    """The group of a transport code; Unknown for any other."""
+    code = F.upper(F.trim(transport))
+    return choose([(code.isin(*codes), name) for name, codes in groups.items()], F.lit("Unknown"))
 
 
 def delay_seconds(scheduled: Column, actual: Column) -> Column:

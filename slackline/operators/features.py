@@ -11,7 +11,7 @@ from slackline.functions import cleaning
 from slackline.functions.quantiles import LEVELS, exact_percentiles
 
 # Key sets of the historical aggregates.
-KEY_SETS = (("bpuic",), ("transport",), ("hour",), ("bpuic", "hour"), ("transport", "hour"), ("dow",), ("bpuic", "transport"))
+KEY_SETS = (("bpuic",), ("transport",), ("bpuic", "hour"), ("transport", "hour"), ("dow", "hour"), ("bpuic", "dow"), ("bpuic", "month"))
 
 
 def level_names(prefix: str, levels: Sequence[float] = LEVELS) -> list[str]:
@@ -54,7 +54,8 @@ def clean_events(raw: DataFrame, start: str, end: str, operators: Sequence[str]
     rows = rows.withColumn("arr_status", cleaning.status(F.col("arr_status"))).filter("arr_status <> 'UNBEKANNT'")
     if operators:
         rows = rows.filter(F.col("operator_id").isin(*operators))
-    rows = rows.withColumn("product", cleaning.product(F.col("transport")))
+    own = F.col("product_id") if "product_id" in rows.columns else F.col("transport")
+    rows = rows.withColumn("product", cleaning.product(F.col("transport"), own))
     rows = rows.filter(cleaning.present(F.col("trip_id")) & cleaning.present(F.col("operator_id")) & cleaning.present(F.col("transport")) & cleaning.present(F.col("product")))
     minutes = cleaning.delay_seconds(F.col("arr_time"), F.col("arr_actual")) / 60.0
     rows = rows.withColumn("delay_min", minutes).withColumn("label_delay_min", cleaning.label_minutes(F.col("delay_min")))

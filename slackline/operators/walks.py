@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from slackline.functions.geo import EARTH_KM, haversine, pairs_within
 
 # Kinds of ways.
-WALKABLE = ("footway", "path", "pedestrian", "steps", "residential", "living_street", "service", "track", "unclassified", "tertiary", "secondary", "primary", "cycleway")
+WALKABLE = (
+    "footway", "pedestrian", "path", "steps", "crossing", "living_street", "residential", "service", "track",
+    "cycleway", "unclassified", "tertiary", "tertiary_link", "secondary", "secondary_link", "primary", "primary_link", "road",
+)
 MOTOR = ("motorway", "motorway_link", "trunk", "trunk_link")
 
 

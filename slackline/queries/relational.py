@@ -162,12 +162,12 @@ def p7_regex(spark, d):
     return read(spark, d, "part", "p_partkey", "p_name").filter(F.col("p_name").rlike("(^red|ring$)") & ~F.col("p_name").contains("small"))
 
 
-@query("""SELECT event_id, CASE upper(event_type) WHEN 'VIEW' THEN 'Train' WHEN 'CLICK' THEN 'Bus' WHEN 'ERROR' THEN 'Tram' ELSE 'Other' END AS mode,
-  CASE event_type WHEN 'view' THEN 'BUS' WHEN 'click' THEN 'TRAM' ELSE upper(event_type) END AS product FROM events""")
+@query("""SELECT event_id, CASE event_type WHEN 'view' THEN 'Bus' WHEN 'click' THEN 'Tram' WHEN 'error' THEN 'Train' ELSE 'Unknown' END AS mode,
+  CASE event_type WHEN 'view' THEN 'BUS' WHEN 'click' THEN 'TRAM' WHEN 'error' THEN 'ZUG' ELSE upper(event_type) END AS product FROM events""")
 def p8_mode_mapping(spark, d):
     t = F.col("event_type")
-    code = F.when(t == "view", " bus ").when(t == "click", "t").otherwise(t)
-    return read(spark, d, "events").select("event_id", C.mode_group(t, {"Train": ["VIEW"], "Bus": ["CLICK"], "Tram": ["ERROR"]}).alias("mode"), C.product(code).alias("product"))
+    code = F.when(t == "view", " bus ").when(t == "click", "t").when(t == "error", "Ice").otherwise(t)
+    return read(spark, d, "events").select("event_id", C.mode_group(code).alias("mode"), C.product(code, t).alias("product"))
 
 
 @query("SELECT event_id, value - 30 AS raw, least(greatest(value - 30, 0), 60) AS label FROM events")
@@ -202,12 +202,12 @@ def p13_severity_share(spark, d):
     return o.groupBy("month", "transport", "severity").agg(F.count("*").alias("n")).withColumn("share", R4(F.col("n") / F.sum("n").over(w)))
 
 
-@query(f"WITH {OBSERVATIONS} SELECT event_id, CASE transport WHEN 'view' THEN 'Train' WHEN 'click' THEN 'Bus' ELSE 'Other' END AS mode FROM obs")
+@query(f"WITH {OBSERVATIONS} SELECT event_id, CASE transport WHEN 'view' THEN 'Train' WHEN 'click' THEN 'Bus' ELSE 'Unknown' END AS mode FROM obs")
 def p14_mode_group(spark, d):
-    return observations(spark, d).select("event_id", C.mode_group(F.col("transport"), {"Train": ["VIEW"], "Bus": ["CLICK"]}).alias("mode"))
+    return observations(spark, d).select("event_id", C.mode_group(F.col("transport"), {"Train": ("VIEW",), "Bus": ("CLICK",)}).alias("mode"))
 
 
-@query(f"""WITH {OBSERVATIONS} SELECT event_id, CASE WHEN h >= 4 AND h < 6 THEN 'early_morning' WHEN h >= 6 AND h < 9 THEN 'morning_peak' WHEN h >= 9 AND h < 16 THEN 'midday' WHEN h >= 16 AND h < 19 THEN 'evening_peak'
+@query(f"""WITH {OBSERVATIONS} SELECT event_id, CASE WHEN h >= 4 AND h < 6 THEN 'early_morning' WHEN h >= 6 AND h < 9 THEN 'morning_rush' WHEN h >= 9 AND h < 16 THEN 'midday' WHEN h >= 16 AND h < 19 THEN 'evening_rush'
   WHEN h >= 19 AND h < 22 THEN 'evening' ELSE 'night' END AS tod FROM (SELECT event_id, hour + CASE WHEN bpuic % 10 = 0 THEN 24 ELSE 0 END AS h FROM obs)""")
 def p15_time_of_day(spark, d):
     return observations(spark, d).select("event_id", C.time_of_day(F.col("hour") + F.when(F.col("bpuic") % 10 == 0, 24).otherwise(0)).alias("tod"))
@@ -378,7 +378,7 @@ def j12_calendar_broadcast(spark, d):
     return j.select("o_orderkey", F.coalesce("holiday", F.lit(0)).cast("int").alias("holiday"))
 
 
-_HIST = [("bpuic",), ("transport",), ("hour",), ("bpuic", "hour"), ("transport", "hour"), ("dow",), ("bpuic", "transport")]
+_HIST = list(features.KEY_SETS)
 
 
 def _hist_sql() -> str:

@@ -366,3 +366,16 @@ def test_plans_push_filters_and_prune_columns(spark, small):
 def test_severity_and_strata(spark):
     r = one(spark, a=cleaning.severity(F.lit(-4.0)), b=cleaning.severity(F.lit(3.0)), c=cleaning.severity(F.lit(500.0)), d=cleaning.time_of_day(F.lit(2)), e=cleaning.time_of_day(F.lit(27)), f=cleaning.tightness(F.lit(299), F.lit(1)), g=cleaning.tightness(F.lit(299), F.lit(0)))
     assert tuple(r) == ("NO DELAY", "NORMAL DELAY", "EXCESSIVE_DELAY", "night", "night", "tight", "none")
+
+
+def test_settings(monkeypatch):
+    from slackline.settings import get_settings
+
+    monkeypatch.setenv("SLACKLINE_MAX_WALK", "750")
+    monkeypatch.setenv("SLACKLINE_REGIONS", "a, b")
+    s = get_settings(sample_seed=7)
+    assert (s.max_walk, s.regions, s.sample_seed, s.walking_speed) == (750.0, ("a", "b"), 7, 50.0)
+    with pytest.raises(TypeError):
+        get_settings(nonsense=1)
+    with pytest.raises(AttributeError):
+        s.max_walk = 1.0
