@@ -12,19 +12,23 @@ Pieces of one length are numbered in chunks of about CHUNK rows, so a length tha
 third of all documents have is spread like any other. The driver holds the histogram
 (at most ``window`` rows) and the plan, both bounded by the window alone.
 
+Where whole pieces would leave more than MOST_PADDING of all ids as padding (a length that
+very many documents share, or a small table), the lengths in windows with much slack are cut
+at powers of two and planned anew; that needs a second pass over the texts.
+
 Defined results: null and empty texts are the end token alone; null ids stay null; rows
-that repeat an id are packed a row each; an empty table gives an empty result. The last
-windows, when pieces run out, may stay short; only they are padded.
+that repeat an id are packed a row each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import os
 import zlib
-from struct import pack
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import suppress
 from dataclasses import dataclass
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -35,14 +39,18 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from slackline.llm import storage
 from slackline.llm.frames import slices
-from slackline.llm.wordbpe import LONGEST_KEY, chunks
+from slackline.llm.wordbpe import END, LONGEST_KEY, chunks
 
 WINDOW = 4096
 END_ID = 2
+#: Padding, as a share of all ids, from which on pieces are cut; and the shortest part that is cut off.
+MOST_PADDING, SHORTEST_CUT = 0.01, 64
 #: Rows of one length that are numbered together.
 CHUNK = 200
 #: Chunks of text in a generation of those whose ids a worker remembers, each about 200 bytes.
-MEMORY = 600_000
+MEMORY = 400_000
+#: Characters of texts whose unknown words are asked of the library at once.
+TOGETHER = 200_000
 #: Punctuation that ends words.
 MARKS = ".,;:!?%$&#*|()-\""
 
@@ -58,16 +66,38 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._library = Tokenizer.from_file(path)
+        vocabulary = self._library.get_vocab(with_added_tokens=False)
+        self._closes = np.zeros(max(self._library.get_vocab().values()) + 1, bool)  # tokens that end a word
+        self._closes[[i for token, i in vocabulary.items() if token.endswith(END)]] = True
         self._young: dict[str, bytes] = {"": b""}
         self._old: dict[str, bytes] = {}
 
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        """Words of letters only, many in one call: each one's ids end with the first token that ends a word."""
+        found = {}
+        for i in range(0, len(words), 2000):
+            some = words[i : i + 2000]
+            ids = np.array(self._library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            data, ends = ids.tobytes(), (4 * (np.flatnonzero(self._closes[ids]) + 1)).tolist()
+            if len(ends) != len(some):
+                return self._each(words)
+            found.update(zip(some, map(data.__getitem__, map(slice, [0, *ends], ends)), strict=True))
+        return found
+
+    def _each(self, texts: list[str]) -> dict[str, bytes]:
+        encoded = self._library.encode_batch_fast(texts, add_special_tokens=False) if texts else []
+        return {c: pack(f"<{len(e.ids)}I", *e.ids) for c, e in zip(texts, encoded, strict=True)}
+
     def _asked(self, unknown: list[str]) -> dict[str, bytes]:
         """The ids of each, remembered or by the library."""
-        found = {c: ids for c in unknown if (ids := self._young.get(c) or self._old.get(c)) is not None}
-        rest = [c for c in unknown if c not in found]
-        encoded = self._library.encode_batch(rest, add_special_tokens=False) if rest else []
-        found.update({c: pack(f"<{len(e.ids)}I", *e.ids) for c, e in zip(rest, encoded, strict=True)})
-        return found
+        found, words, rest = {}, [], []
+        for c in unknown:
+            ids = self._young.get(c) or self._old.get(c)
+            if ids is not None:
+                found[c] = ids
+            else:
+                (words if c.isalpha() and max(c) <= "ÿ" else rest).append(c)
+        return found | self._words(words) | self._each(rest)
 
     def _learn(self, unknown: list[str]) -> dict[str, bytes]:
         whole, ends = [], {}
@@ -84,21 +114,48 @@ class Encoder:
         self._young.update({c: ids for c, ids in found.items() if len(c) <= LONGEST_KEY})
         return found
 
-    def encode(self, text: str | None) -> bytes:
-        """The ids, four bytes each, lowest first."""
-        if not text:
-            return b""
-        try:
-            text.encode("latin-1")  # there lower case is letter by letter and nothing combines
-            text = text if "<|" in text else text.lower()
-        except UnicodeEncodeError:
-            pass
-        parts = chunks(text)
-        got = list(map(self._young.get, parts))
-        if None in got:
-            found = self._learn(list(dict.fromkeys([c for c, ids in zip(parts, got, strict=True) if ids is None])))
-            got = [found[c] if ids is None else ids for c, ids in zip(parts, got, strict=True)]
-        return b"".join(got)
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text, four bytes each, lowest first."""
+        split = [chunks(_plain(t)) for t in texts]
+        got = [list(map(self._young.get, parts)) for parts in split]
+        gaps = [(parts, known, k) for parts, known in zip(split, got, strict=True) for k in _gaps(known)]
+        if gaps:
+            found = self._learn(list({parts[k]: None for parts, _, k in gaps}))
+            for parts, known, k in gaps:
+                known[k] = found[parts[k]]
+        return [b"".join(known) for known in got]
+
+
+def _gaps(known: list) -> Iterator[int]:
+    """Places of None."""
+    k = -1
+    with suppress(ValueError):
+        while True:
+            yield (k := known.index(None, k + 1))
+
+
+def _plain(text: str | None) -> str:
+    """The text in lower case where that is letter by letter and nothing combines: in Latin-1 without special tokens."""
+    if not text or "<|" in text:
+        return text or ""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
+def _groups(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """Neighbouring texts that are encoded together: TOGETHER characters, one text at least."""
+    group, size = [], 0
+    for text in texts:
+        if group and size + len(text or "") > TOGETHER:
+            yield group
+            group, size = [], 0
+        group.append(text)
+        size += len(text or "")
+    if group:
+        yield group
 
 
 @lru_cache(maxsize=2)
@@ -107,8 +164,17 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def cut_pieces(df: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """doc_id, start, length, ids_crc32 and doc_tokens of every piece, and its ids if asked for."""
+def binary_parts(length: int) -> list[int]:
+    """Powers of two from the largest in the length down to SHORTEST_CUT, and what is left."""
+    parts = []
+    while length >= SHORTEST_CUT:
+        parts.append(1 << length.bit_length() - 1)
+        length -= parts[-1]
+    return parts + [length] * (length > 0)
+
+
+def cut_pieces(df: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False, cut: frozenset[int] = frozenset()) -> DataFrame:
+    """doc_id, start, length, ids_crc32 and doc_tokens of every piece, and its ids if asked for. Pieces whose length is in ``cut`` are cut into binary_parts()."""
     fields = [T.StructField("doc_id", df.schema["doc_id"].dataType)]
     fields += [T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens")]
     schema = T.StructType(fields + [T.StructField("ids", T.ArrayType(T.LongType()))] * with_ids)
@@ -120,11 +186,15 @@ def cut_pieces(df: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int
         for whole in batches:
             for batch in slices(whole, "text"):
                 rows = []
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    data = encode(text) + end
-                    for at in range(0, len(data), 4 * window):
-                        piece = data[at : at + 4 * window]
+                ids = (data for group in _groups(batch.column(1).to_pylist()) for data in encode(group))
+                for doc_id, data in zip(batch.column(0).to_pylist(), ids, strict=True):
+                    data += end
+                    whole, rest = divmod(len(data) // 4, window)
+                    at = 0
+                    for length in [window] * whole + (binary_parts(rest) if rest in cut else [rest] * (rest > 0)):
+                        piece = data[at : at + 4 * length]
                         rows.append((doc_id, at // 4, len(piece) // 4, zlib.crc32(piece), len(data) // 4, np.frombuffer(piece, "<u4").tolist() if with_ids else None))
+                        at += 4 * length
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], arrow.field(i).type) for i in range(len(arrow))], schema=arrow)
 
     return df.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
@@ -159,13 +229,16 @@ def closest_fill(left: list[tuple[int, int]], room: int) -> dict[int, int]:
 @dataclass(frozen=True)
 class Plan:
     """Rows of the plan, in order of length and first rank: pieces of ``length`` whose rank is from
-    ``rank`` on go to sequences from ``sequence`` on, ``each`` a sequence, from ``offset`` on."""
+    ``rank`` on go to sequences from ``sequence`` on, ``each`` a sequence, from ``offset`` on. slack: lengths in windows
+    that stay far from full."""
 
     length: np.ndarray
     rank: np.ndarray
     sequence: np.ndarray
     each: np.ndarray
     offset: np.ndarray
+    padding: int
+    slack: frozenset[int]
 
     def place(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sequence and offset of pieces, given their length and their rank among pieces of that length."""
@@ -178,7 +251,7 @@ class Plan:
 def plan_windows(histogram: dict[int, int], window: int = WINDOW) -> Plan:
     """The plan for so many pieces of each length, none longer than the window."""
     left = {length: n for length, n in sorted(histogram.items(), reverse=True) if n}
-    used, rows, sequence = dict.fromkeys(left, 0), [], 0
+    used, rows, sequence, padding, slack = dict.fromkeys(left, 0), [], 0, 0, set()
     while left:
         first = next(iter(left))
         rest = [(k, n - (k == first)) for k, n in left.items() if n > (k == first)]
@@ -194,8 +267,11 @@ def plan_windows(histogram: dict[int, int], window: int = WINDOW) -> Plan:
             if not left[length]:
                 del left[length]
         sequence += times
+        if offset & (offset - 1):  # a power of two needs no padding
+            padding += (window - offset) * times
+            slack.update(taken if window - offset > window // 64 else ())
     rows.sort()
-    return Plan(*(np.array(c, np.int64) for c in (zip(*rows, strict=True) if rows else [[]] * 5)))
+    return Plan(*(np.array(c, np.int64) for c in (zip(*rows, strict=True) if rows else [[]] * 5)), padding, frozenset(slack))
 
 
 def ranked(pieces: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -210,11 +286,17 @@ def ranked(pieces: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return dealt.withColumn("_row", within).join(before, ["length", "_chunk"]).withColumn("rank", F.col("_before") + F.col("_row") - 1).drop("_chunk", "_row", "_before")
 
 
+def _planned(pieces: DataFrame, window: int) -> tuple[DataFrame, Plan]:
+    pieces = storage.written(pieces, "pack-pieces")
+    counts = pieces.groupBy("length").count().collect()  # at most ``window`` rows
+    return pieces, plan_windows({r["length"]: r["count"] for r in counts}, window)
+
+
 def pack_documents(df: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """The pieces of all documents with sequence_id and offset. tokenizer: path of the vocabulary file."""
-    pieces = storage.written(cut_pieces(df, tokenizer, window, end_id, with_ids), "pack-pieces")
-    counts = pieces.groupBy("length").count().collect()  # at most ``window`` rows
-    plan = plan_windows({r["length"]: r["count"] for r in counts}, window)
+    pieces, plan = _planned(cut_pieces(df, tokenizer, window, end_id, with_ids), window)
+    if plan.padding > MOST_PADDING * pieces.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]:
+        pieces, plan = _planned(cut_pieces(df, tokenizer, window, end_id, with_ids, plan.slack), window)
     columns = pieces.columns
     schema = T.StructType([*pieces.schema, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     return ranked(pieces).select(*columns, "rank").mapInArrow(_placer(plan, schema), schema)
