@@ -35,7 +35,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are repeated or thinned to shares in proportion to the square root of their rows, in a global random order."""
-    return mixing.mix_sources(docs).select(*docs.columns)
+    return mixing.resample(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

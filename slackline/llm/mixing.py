@@ -60,16 +60,30 @@ def poisson_levels(rates: DataFrame) -> DataFrame:
     return levels.groupBy("source").agg(F.sort_array(F.collect_list("level")).alias("levels"))
 
 
+def _drawn(docs: DataFrame, weights: dict[str, float] | None, exponent: float, seed: int) -> tuple[DataFrame, dict[str, Column]]:
+    """The copies in order, under names that can't clash, and the documents' own columns in them; _copies, _copy and _key beside."""
+    own = {c: f"_d{i}" for i, c in enumerate(docs.columns)}
+    doc_id, source = F.col(own["doc_id"]), F.col(own["source"])
+    levels = storage.written(poisson_levels(source_rates(docs.select("source"), weights, exponent)), "mix-levels")
+    named = docs.toDF(*own.values())
+    drawn = named.join(levels, source.eqNullSafe(F.col("source"))).withColumn("_u", uniform(seed, doc_id))
+    drawn = drawn.withColumn("_copies", F.size(F.filter("levels", lambda level: level <= F.col("_u")))).filter("_copies > 0").drop("levels", "source")
+    key = F.md5(F.concat_ws(":", F.lit(f"shuffle{seed}"), F.coalesce(doc_id.cast("string"), F.lit("null")), F.col("_copy").cast("string")))
+    copied = drawn.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).withColumn("_key", key)
+    return copied.orderBy("_key", own["doc_id"]), {c: F.col(o).alias(c) for c, o in own.items()}
+
+
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, exponent: float = 0.5, seed: int = 11) -> DataFrame:
-    """The columns of ``docs`` with copies, copy (from 1) and shuffle_key, in the order of that key."""
-    names = docs.columns
-    levels = storage.written(poisson_levels(source_rates(docs, weights, exponent)), "mix-levels").withColumnRenamed("source", "_source")
-    drawn = docs.join(levels, docs["source"].eqNullSafe(levels["_source"])).withColumn("_u", uniform(seed, docs["doc_id"]))
-    drawn = drawn.withColumn("_copies", F.size(F.filter("levels", lambda level: level <= F.col("_u")))).filter("_copies > 0")
-    copied = drawn.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    key = F.md5(F.concat_ws(":", F.lit(f"shuffle{seed}"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("_copy").cast("string")))
-    extra = [F.col("_copies").alias("copies"), F.col("_copy").alias("copy"), F.col("_key").alias("shuffle_key")]
-    return copied.withColumn("_key", key).orderBy("_key", "doc_id").select(*[docs[c] for c in names if c not in ("copies", "copy", "shuffle_key")], *extra)
+    """The columns of ``docs`` with copies, copy (from 1) and shuffle_key, in the order of that key. Columns of ``docs`` by these names go."""
+    drawn, own = _drawn(docs, weights, exponent, seed)
+    extra = {"copies": F.col("_copies").alias("copies"), "copy": F.col("_copy").alias("copy"), "shuffle_key": F.col("_key").alias("shuffle_key")}
+    return drawn.select(*[c for name, c in own.items() if name not in extra], *extra.values())
+
+
+def resample(docs: DataFrame, weights: dict[str, float] | None = None, exponent: float = 0.5, seed: int = 11) -> DataFrame:
+    """The same rows with the columns of ``docs`` as they were."""
+    drawn, own = _drawn(docs, weights, exponent, seed)
+    return drawn.select(*own.values())
 
 
 ORACLE = """

@@ -43,10 +43,18 @@ def test_stages(spark, k):
     assert rows
     if k < 4:
         assert out.columns == docs.columns
+        assert {r["copy"] for r in rows} == {7} and {r["_text"] for r in rows} == {"clash"}
     empty = stage(spark, empty_docs(spark), "")
     assert empty.collect() == []
 
 
+def test_mixing_with_clashing_columns(spark):
+    docs = nasty_docs(spark).withColumn("levels", F.lit("x")).withColumn("_u", F.lit(2)).withColumn("rate", F.lit(0))
+    plain = mixing.resample(docs).collect()
+    mixed = mixing.mix_sources(docs).collect()
+    assert len(plain) == len(mixed) and {r["levels"] for r in plain} == {"x"} and all(1 <= r["copy"] <= r["copies"] for r in mixed)
+
+
 def test_labels_of_one_class(spark):
     labels = nasty_labels(spark).filter("quality = 1 and toxic = 0")
     scores = [r["score"] for r in quality_ranker.quality_scores(nasty_docs(spark), labels).collect()]
