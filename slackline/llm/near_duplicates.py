@@ -271,7 +271,11 @@ def deduplicate(docs: DataFrame, parameters: NearParameters, text: str = "text")
     named = docs.toDF(*own).withColumn(of, F.col(of).cast("string")).withColumn("doc_id", F.col(own[columns.index("doc_id")]).cast("long"))
     rows = _sketched(named, of, parameters, [*own, "doc_id"])
     placed = storage.written(_placed(rows, rows.select("doc_id", F.col(of).alias("_text")), parameters), "near-placed")
-    first = placed.groupBy("component_id").agg(F.min(F.struct("doc_id", "_row")).alias("_first"))
-    gone = placed.join(first, "component_id").filter(F.col("_row") != F.col("_first")["_row"]).select("_row")
+    several = placed.groupBy("component_id").agg(F.count("*").alias("_n"), F.min("doc_id").alias("_id")).filter("_n > 1 and component_id is not null").select("component_id", "_id")
+    several = storage.written(several, "near-several")
+    inside = placed.join(several, "component_id")
+    # rows that repeat the smallest id have one first row; written on its own, so that the join below can be split
+    first = storage.written(inside.filter("doc_id = _id").groupBy("component_id").agg(F.min("_row").alias("_first")), "near-first")
+    gone = placed.join(first, "component_id").filter("_row <> _first").select("_row")
     gone = storage.written(gone, "near-gone")  # its size is known when the join is planned
     return rows.join(gone, "_row", "left_anti").select(*own).toDF(*columns)
