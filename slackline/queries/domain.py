@@ -405,7 +405,7 @@ def d42_updater(spark, d):
     return n.select(F.lit(state.active).alias("active"), F.lit(state.end).alias("end"), F.lit(len(state.failed)).alias("failed"), "rows")
 
 
-@query(f"WITH {OBSERVATIONS}, l AS (SELECT avg(CASE WHEN delay >= 30 THEN 0.5 * (delay - 30) ELSE 0.5 * (30 - delay) END) AS loss FROM obs WHERE operating_day > (SELECT max(operating_day) FROM obs) - 3) SELECT round(loss, 4) AS loss, round((loss - 10) / 10, 4) AS change, (loss - 10) / 10 > 0.2 AS retrain FROM l")
+@query(f"WITH {OBSERVATIONS}, l AS (SELECT avg(CASE WHEN delay >= 30 THEN 0.5 * (delay - 30) ELSE 0.5 * (30 - delay) END) AS loss FROM obs WHERE operating_day > (SELECT max(operating_day) FROM obs) - 3) SELECT round(loss + 1e-9, 4) AS loss, round((loss - 10) / 10 + 1e-9, 4) AS change, (loss - 10) / 10 > 0.2 AS retrain FROM l")
 def d43_divergence(spark, d):
     r = evaluation.divergence(observations(spark, d).withColumn("p", F.lit(30.0)), "operating_day", "delay", "p", 10.0)
     return r.select(R4("loss").alias("loss"), R4("change").alias("change"), "retrain")
@@ -418,7 +418,7 @@ def d45_seasonal_fold(spark, d):
     return read(spark, d, "orders", "o_orderkey", "o_orderdate").select("o_orderkey", seasonal_fold(F.col("o_orderdate")).alias("fold"))
 
 
-@query("""WITH g AS (SELECT quantile_disc(value, 0.9) AS e, avg(value) AS m, quantile_disc(value, 0.5) AS md FROM events) SELECT count(*) AS n, round(avg(abs(value - 80)), 4) AS mae, round(avg(abs(value - m)), 4) AS mae_mean, round(avg(abs(value - md)), 4) AS mae_median FROM events, g WHERE value >= e""")
+@query("""WITH g AS (SELECT quantile_disc(value, 0.9) AS e, avg(value) AS m, quantile_disc(value, 0.5) AS md FROM events) SELECT count(*) AS n, round(avg(abs(value - 80)) + 1e-9, 4) AS mae, round(avg(abs(value - m)) + 1e-9, 4) AS mae_mean, round(avg(abs(value - md)) + 1e-9, 4) AS mae_median FROM events, g WHERE value >= e""")
 def d47_large_delay(spark, d):
     r = evaluation.large_delays(read(spark, d, "events", "value").withColumn("p", F.lit(80.0)), "value", "p")
     return r.select("n", *[R4(c).alias(c) for c in ("mae", "mae_mean", "mae_median")])
@@ -453,7 +453,7 @@ def d53_query_times(spark, d):
     return o.select("o_orderkey", clock.weekday_name(day).alias("weekday"), clock.deadline_seconds(at, day).alias("clock_secs"), clock.deadline_seconds(stamp, day).alias("stamp_secs"))
 
 
-@query(f"WITH {OBSERVATIONS}, t AS (SELECT bpuic, quantile_disc(delay, 0.5) AS a, quantile_disc(delay, 0.9) AS b FROM obs WHERE operating_day < DATE '2024-01-21' GROUP BY 1), v AS (SELECT delay, a, b FROM obs JOIN t USING (bpuic) WHERE operating_day >= DATE '2024-01-21') SELECT 0.5::DOUBLE AS q, round(avg((a >= delay)::INTEGER), 4) AS success, round(avg(a) / 60, 4) AS mean_buffer_min FROM v UNION ALL SELECT 0.9, round(avg((b >= delay)::INTEGER), 4), round(avg(b) / 60, 4) FROM v")
+@query(f"WITH {OBSERVATIONS}, t AS (SELECT bpuic, quantile_disc(delay, 0.5) AS a, quantile_disc(delay, 0.9) AS b FROM obs WHERE operating_day < DATE '2024-01-21' GROUP BY 1), v AS (SELECT delay, a, b FROM obs JOIN t USING (bpuic) WHERE operating_day >= DATE '2024-01-21') SELECT 0.5::DOUBLE AS q, round(avg((a >= delay)::INTEGER) + 1e-9, 4) AS success, round(avg(a) / 60 + 1e-9, 4) AS mean_buffer_min FROM v UNION ALL SELECT 0.9, round(avg((b >= delay)::INTEGER) + 1e-9, 4), round(avg(b) / 60 + 1e-9, 4) FROM v")
 def d54_leg_calibration(spark, d):
     o = observations(spark, d)
     t = features.history(o.filter("operating_day < '2024-01-21'"), ["bpuic"], "delay", "h", (0.5, 0.9))
@@ -476,7 +476,7 @@ def d59_daily_merge(spark, d):
     return lifecycle.daily_merge(there, incoming, "operating_day").groupBy("operating_day").agg(F.count("*").alias("n"))
 
 
-@query("SELECT s_nationkey AS region, l_returnflag, round(avg(l_quantity), 4) AS quantity FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2")
+@query("SELECT s_nationkey AS region, l_returnflag, round(avg(l_quantity) + 1e-9, 4) AS quantity FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2")
 def d60_regional_lookups(spark, d):
     """One pass for all regions, written by region and read again."""
     path = scratch(spark, "regions")
@@ -487,14 +487,14 @@ def d60_regional_lookups(spark, d):
 
 
 @query(f"""WITH {OBSERVATIONS}, t AS (SELECT * FROM obs WHERE operating_day < DATE '2024-01-21'), g AS (SELECT transport, hour, quantile_disc(delay, 0.5) AS a, quantile_disc(delay, 0.9) AS b FROM t GROUP BY 1, 2), v AS (SELECT delay, coalesce(a, (SELECT quantile_disc(delay, 0.5) FROM t)) AS a, coalesce(b, (SELECT quantile_disc(delay, 0.9) FROM t)) AS b FROM obs LEFT JOIN g USING (transport, hour) WHERE operating_day >= DATE '2024-01-21')
-  SELECT round(avg(CASE WHEN delay >= a THEN 0.5 * (delay - a) ELSE 0.5 * (a - delay) END), 4) AS pinball_50, round(avg(CASE WHEN delay >= b THEN 0.9 * (delay - b) ELSE (1 - 0.9) * (b - delay) END), 4) AS pinball_90 FROM v""")
+  SELECT round(avg(CASE WHEN delay >= a THEN 0.5 * (delay - a) ELSE 0.5 * (a - delay) END) + 1e-9, 4) AS pinball_50, round(avg(CASE WHEN delay >= b THEN 0.9 * (delay - b) ELSE (1 - 0.9) * (b - delay) END) + 1e-9, 4) AS pinball_90 FROM v""")
 def d61_evaluate(spark, d):
     o = observations(spark, d)
     v = features.with_history(o.filter("operating_day >= '2024-01-21'"), o.filter("operating_day < '2024-01-21'"), "delay", [("transport", "hour")], (0.5, 0.9))
     return evaluation.pinball_losses(v, "delay", {0.5: "h_transport_hour_p50", 0.9: "h_transport_hour_p90"}).select(R4("pinball_50").alias("pinball_50"), R4("pinball_90").alias("pinball_90"))
 
 
-@query("SELECT s_suppkey // 4 AS stop, round(avg(s_acctbal), 4) AS lat FROM supplier WHERE s_suppkey % 5 <> 0 GROUP BY 1")
+@query("SELECT s_suppkey // 4 AS stop, round(avg(s_acctbal) + 1e-9, 4) AS lat FROM supplier WHERE s_suppkey % 5 <> 0 GROUP BY 1")
 def d62_national_stops(spark, d):
     s = read(spark, d, "supplier").withColumn("lat", F.when(F.col("s_suppkey") % 5 != 0, F.col("s_acctbal"))).filter("lat is not null")
     return s.groupBy(F.floor(F.col("s_suppkey") / 4).alias("stop")).agg(R4(F.avg("lat")).alias("lat")).filter("lat is not null")

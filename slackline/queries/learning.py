@@ -67,7 +67,7 @@ def m4_trees(spark, d):
     return found
 
 
-@query(f"WITH {OBSERVATIONS}, t AS (SELECT avg(delay) AS m FROM obs WHERE operating_day < DATE '2024-01-21') SELECT round(sqrt(avg(pow(delay - m, 2))), 4) AS rmse, round(avg(abs(delay - m)), 4) AS mae FROM obs, t WHERE operating_day >= DATE '2024-01-21'")
+@query(f"WITH {OBSERVATIONS}, t AS (SELECT avg(delay) AS m FROM obs WHERE operating_day < DATE '2024-01-21') SELECT round(sqrt(avg(pow(delay - m, 2))) + 1e-9, 4) AS rmse, round(avg(abs(delay - m)) + 1e-9, 4) AS mae FROM obs, t WHERE operating_day >= DATE '2024-01-21'")
 def m4_mean_baseline(spark, d):
     train, test = _data(spark, d)
     m = evaluation.regression_metrics(test.join(train.agg(F.avg("delay").alias("p"))), "delay", "p")

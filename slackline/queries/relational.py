@@ -22,7 +22,7 @@ def R4(c):
 # --- sources and sinks ----------------------------------------------------------------------------
 
 
-@query("SELECT l_returnflag, count(*) AS n, round(sum(l_quantity), 4) AS quantity FROM lineitem GROUP BY 1")
+@query("SELECT l_returnflag, count(*) AS n, round(sum(l_quantity) + 1e-9, 4) AS quantity FROM lineitem GROUP BY 1")
 def s1_scan(spark, d):
     return read(spark, d, "lineitem", "l_returnflag", "l_quantity").groupBy("l_returnflag").agg(F.count("*").alias("n"), R4(F.sum("l_quantity")).alias("quantity"))
 
@@ -187,7 +187,7 @@ def p11_ml_columns(spark, d):
     return C.ml_columns(p, ["cat"], ["num"], "label")
 
 
-@query(f"WITH {OBSERVATIONS} SELECT event_id, CAST(floor(delay) AS BIGINT) AS delay_sec, round(floor(delay) / 60.0, 4)::DOUBLE AS delay_min FROM obs")
+@query(f"WITH {OBSERVATIONS} SELECT event_id, CAST(floor(delay) AS BIGINT) AS delay_sec, round(floor(delay) / 60.0 + 1e-9, 4)::DOUBLE AS delay_min FROM obs")
 def p12_delay(spark, d):
     o = observations(spark, d).withColumn("actual", F.timestamp_seconds(F.col("secs") + F.floor("delay")))
     s = C.delay_seconds(F.col("arr_time"), F.col("actual"))
@@ -195,7 +195,7 @@ def p12_delay(spark, d):
 
 
 @query(f"""WITH {OBSERVATIONS}, s AS (SELECT month, transport, CASE WHEN least(greatest(delay - 20, 0), 120) = 0 THEN 'NO DELAY' WHEN least(greatest(delay - 20, 0), 120) <= 3 THEN 'NORMAL DELAY' ELSE 'EXCESSIVE_DELAY' END AS severity FROM obs)
-  SELECT month, transport, severity, count(*) AS n, round(count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY month, transport), 4) AS share FROM s GROUP BY 1, 2, 3""")
+  SELECT month, transport, severity, count(*) AS n, round(count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY month, transport) + 1e-9, 4) AS share FROM s GROUP BY 1, 2, 3""")
 def p13_severity_share(spark, d):
     o = observations(spark, d).select("month", "transport", C.severity(F.col("delay") - 20).alias("severity"))
     w = Window.partitionBy("month", "transport")
@@ -263,7 +263,7 @@ def p24_bus_only(spark, d):
     return read(spark, d, "events").withColumns(C.only_for(F.col("event_type") == "click", ["value"], "_bus")).select("event_id", "value_bus")
 
 
-@query("""WITH x AS (SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_acctbal END AS bal FROM customer) SELECT c_custkey, round(coalesce(bal, (SELECT avg(bal) FROM x)), 4) AS bal FROM x""")
+@query("""WITH x AS (SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_acctbal END AS bal FROM customer) SELECT c_custkey, round(coalesce(bal, (SELECT avg(bal) FROM x)) + 1e-9, 4) AS bal FROM x""")
 def p25_mean_impute(spark, d):
     c = read(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 4 != 0, F.col("c_acctbal")).alias("bal"))
     return C.fill_means(c, ["bal"]).select("c_custkey", R4("bal").alias("bal"))
@@ -275,7 +275,7 @@ def p26_constant_impute(spark, d):
     return read(spark, d, "customer", "c_custkey").join(n, "c_custkey", "left").na.fill(0, ["n"])
 
 
-@query("SELECT event_id, round(value - 50, 4) AS error FROM events WHERE value - 50 > 0")
+@query("SELECT event_id, round(value - 50 + 1e-9, 4) AS error FROM events WHERE value - 50 > 0")
 def p27_under_prediction(spark, d):
     return read(spark, d, "events").select("event_id", R4(F.col("value") - 50).alias("error")).filter("error > 0")
 
@@ -288,7 +288,7 @@ def j1_stop_times_stops(spark, d):
     return stop_times(spark, d).join(stops(spark, d), "stop").groupBy("name").agg(F.count("*").alias("n"))
 
 
-@query("SELECT o_orderstatus, dayofweek(o_orderdate) + 1 AS dow, count(*) AS n, round(sum(l_quantity), 4) AS quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2")
+@query("SELECT o_orderstatus, dayofweek(o_orderdate) + 1 AS dow, count(*) AS n, round(sum(l_quantity) + 1e-9, 4) AS quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2")
 def j2_trip_service(spark, d):
     t = read(spark, d, "orders", "o_orderkey", "o_orderstatus", "o_orderdate")
     j = read(spark, d, "lineitem", "l_orderkey", "l_quantity").join(t, F.col("l_orderkey") == F.col("o_orderkey"))
@@ -349,7 +349,7 @@ def j7_stop_canton(spark, d):
 _KM = "2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))))"
 
 
-@query(f"WITH {STOPS}, {STATIONS}, p AS (SELECT a.stop, b.station, {_KM} AS km FROM stops a, stations b) SELECT stop, station, round(km, 4) AS km FROM (SELECT *, row_number() OVER (PARTITION BY stop ORDER BY km, station) AS n FROM p) WHERE n = 1")
+@query(f"WITH {STOPS}, {STATIONS}, p AS (SELECT a.stop, b.station, {_KM} AS km FROM stops a, stations b) SELECT stop, station, round(km + 1e-9, 4) AS km FROM (SELECT *, row_number() OVER (PARTITION BY stop ORDER BY km, station) AS n FROM p) WHERE n = 1")
 def j9_nearest_station(spark, d):
     return geo.nearest(stops(spark, d), stations(spark), "stop", "station").withColumn("km", R4("km"))
 
@@ -361,7 +361,7 @@ def j10_left_aggregate(spark, d):
 
 
 @query(f"""WITH {OBSERVATIONS}, w AS (SELECT user_id % 10 AS station, date_trunc('hour', ts) AS h, avg(delay) AS temp FROM obs WHERE bpuic < 50 GROUP BY 1, 2), j AS (SELECT event_id, transport, temp FROM obs LEFT JOIN w ON w.station = bpuic % 10 AND w.h = date_trunc('hour', ts))
-  SELECT event_id, round(coalesce(temp, (SELECT avg(temp) FROM j)), 4) AS temp, round(CASE WHEN transport = 'click' THEN coalesce(temp, (SELECT avg(temp) FROM j)) ELSE 0.0 END, 4) AS temp_bus FROM j""")
+  SELECT event_id, round(coalesce(temp, (SELECT avg(temp) FROM j)) + 1e-9, 4) AS temp, round(CASE WHEN transport = 'click' THEN coalesce(temp, (SELECT avg(temp) FROM j)) ELSE 0.0 END + 1e-9, 4) AS temp_bus FROM j""")
 def j11_weather_hour(spark, d):
     o = observations(spark, d).withColumn("product", F.when(F.col("transport") == "click", "BUS").otherwise("TRAM"))
     weather = o.filter("bpuic < 50").groupBy((F.col("user_id") % 10).cast("int").alias("station"), F.date_trunc("hour", "ts").alias("hour_start")).agg(F.avg("delay").alias("temp"))
@@ -496,7 +496,7 @@ def j25_full_outer(spark, d):
     return part("F", "n_f").join(part("O", "n_o"), "day", "full").na.fill(0)
 
 
-@query(f"WITH {OBSERVATIONS}, {STOPS}, {_AREAS}, m AS (SELECT stop, area FROM stops, areas WHERE lon >= x0 AND lon < x1 AND lat >= y0 AND lat < y1) SELECT area, transport, count(*) AS n, round(avg(delay), 4) AS mean FROM obs JOIN m ON stop = bpuic GROUP BY 1, 2")
+@query(f"WITH {OBSERVATIONS}, {STOPS}, {_AREAS}, m AS (SELECT stop, area FROM stops, areas WHERE lon >= x0 AND lon < x1 AND lat >= y0 AND lat < y1) SELECT area, transport, count(*) AS n, round(avg(delay) + 1e-9, 4) AS mean FROM obs JOIN m ON stop = bpuic GROUP BY 1, 2")
 def j26_district_explode(spark, d):
     points = stops(spark, d).select("stop", F.col("lon").alias("x"), F.col("lat").alias("y"))
     m = geo.assign_areas(points, _areas(spark), "stop", "area").withColumnRenamed("stop", "bpuic")
@@ -564,61 +564,61 @@ def a3_newest_version(spark, d):
 _P = ", ".join(f"quantile_disc(delay, {q}) AS h_p{round(q * 100):02d}" for q in (0.5, 0.6, 0.7, 0.8, 0.85, 0.9, 0.95))
 
 
-@query(f"WITH {OBSERVATIONS} SELECT transport, hour, count(*) AS h_n, round(avg(delay), 4) AS h_mean, {_P} FROM obs GROUP BY 1, 2")
+@query(f"WITH {OBSERVATIONS} SELECT transport, hour, count(*) AS h_n, round(avg(delay) + 1e-9, 4) AS h_mean, {_P} FROM obs GROUP BY 1, 2")
 def a4_group_percentiles(spark, d):
     return features.history(observations(spark, d), ["transport", "hour"], "delay", "h").withColumn("h_mean", R4("h_mean"))
 
 
-@query(f"WITH {OBSERVATIONS} SELECT round(avg(delay), 4) AS all_mean, {_P.replace('h_p', 'all_p')} FROM obs")
+@query(f"WITH {OBSERVATIONS} SELECT round(avg(delay) + 1e-9, 4) AS all_mean, {_P.replace('h_p', 'all_p')} FROM obs")
 def a5_global_fallback(spark, d):
     return features.overall(observations(spark, d), "delay").withColumn("all_mean", R4("all_mean"))
 
 
-@query(f"""WITH {OBSERVATIONS} SELECT grouping_id(transport, hour, dow) AS g, transport, hour, dow, count(*) AS n, round(avg(delay), 4) AS mean FROM obs GROUP BY GROUPING SETS ((transport), (hour), (transport, hour), (dow), ())""")
+@query(f"""WITH {OBSERVATIONS} SELECT grouping_id(transport, hour, dow) AS g, transport, hour, dow, count(*) AS n, round(avg(delay) + 1e-9, 4) AS mean FROM obs GROUP BY GROUPING SETS ((transport), (hour), (transport, hour), (dow), ())""")
 def a6_grouping_sets(spark, d):
     """Several key sets' aggregates in one pass, as grouping sets."""
     observations(spark, d).createOrReplaceTempView("slackline_obs")
-    return spark.sql("SELECT grouping_id(transport, hour, dow) AS g, transport, hour, dow, count(*) AS n, round(avg(delay), 4) AS mean FROM slackline_obs GROUP BY transport, hour, dow GROUPING SETS ((transport), (hour), (transport, hour), (dow), ())")
+    return spark.sql("SELECT grouping_id(transport, hour, dow) AS g, transport, hour, dow, count(*) AS n, round(avg(delay) + 1e-9, 4) AS mean FROM slackline_obs GROUP BY transport, hour, dow GROUPING SETS ((transport), (hour), (transport, hour), (dow), ())")
 
 
-@query(f"WITH {OBSERVATIONS} SELECT user_id % 10 AS station, month, round(avg(delay), 4) AS temp FROM obs GROUP BY 1, 2")
+@query(f"WITH {OBSERVATIONS} SELECT user_id % 10 AS station, month, round(avg(delay) + 1e-9, 4) AS temp FROM obs GROUP BY 1, 2")
 def a7_climatology(spark, d):
     w = observations(spark, d).select((F.col("user_id") % 10).alias("station"), F.date_trunc("hour", "ts").alias("hour_start"), F.col("delay").alias("temp"))
     return features.climatology(w, ["temp"]).withColumn("temp", R4("temp"))
 
 
-@query(f"WITH {OBSERVATIONS} SELECT bpuic, transport, hour, dow, round(coalesce(avg(delay), 0), 4) AS delay, round(coalesce(avg(nullif(user_id, 1)), 0), 4) AS users FROM obs GROUP BY 1, 2, 3, 4")
+@query(f"WITH {OBSERVATIONS} SELECT bpuic, transport, hour, dow, round(coalesce(avg(delay), 0) + 1e-9, 4) AS delay, round(coalesce(avg(nullif(user_id, 1)), 0) + 1e-9, 4) AS users FROM obs GROUP BY 1, 2, 3, 4")
 def a8_combo_means(spark, d):
     o = observations(spark, d).withColumn("users", F.nullif(F.col("user_id"), F.lit(1)))
     return o.groupBy("bpuic", "transport", "hour", "dow").agg(R4(F.coalesce(F.avg("delay"), F.lit(0.0))).alias("delay"), R4(F.coalesce(F.avg("users"), F.lit(0.0))).alias("users"))
 
 
-@query("SELECT n_regionkey AS region, l_returnflag, l_linestatus, round(avg(l_quantity), 4) AS quantity FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2, 3")
+@query("SELECT n_regionkey AS region, l_returnflag, l_linestatus, round(avg(l_quantity) + 1e-9, 4) AS quantity FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2, 3")
 def a9_district_means(spark, d):
     s = read(spark, d, "supplier", "s_suppkey", "s_nationkey").join(read(spark, d, "nation", "n_nationkey", "n_regionkey"), F.col("s_nationkey") == F.col("n_nationkey"))
     li = read(spark, d, "lineitem", "l_suppkey", "l_returnflag", "l_linestatus", "l_quantity")
     return li.join(s, F.col("l_suppkey") == F.col("s_suppkey")).groupBy(F.col("n_regionkey").alias("region"), "l_returnflag", "l_linestatus").agg(R4(F.avg("l_quantity")).alias("quantity"))
 
 
-@query(f"WITH {OBSERVATIONS} SELECT round(avg(CASE WHEN delay >= 40 THEN 0.5 * (delay - 40) ELSE 0.5 * (40 - delay) END), 4) AS pinball_50, round(avg(CASE WHEN delay >= 110 THEN 0.9 * (delay - 110) ELSE (1 - 0.9) * (110 - delay) END), 4) AS pinball_90 FROM obs")
+@query(f"WITH {OBSERVATIONS} SELECT round(avg(CASE WHEN delay >= 40 THEN 0.5 * (delay - 40) ELSE 0.5 * (40 - delay) END) + 1e-9, 4) AS pinball_50, round(avg(CASE WHEN delay >= 110 THEN 0.9 * (delay - 110) ELSE (1 - 0.9) * (110 - delay) END) + 1e-9, 4) AS pinball_90 FROM obs")
 def a10_pinball_global(spark, d):
     o = observations(spark, d).withColumn("p50", F.lit(40.0)).withColumn("p90", F.lit(110.0))
     return evaluation.pinball_losses(o, "delay", {0.5: "p50", 0.9: "p90"}).select(R4("pinball_50").alias("pinball_50"), R4("pinball_90").alias("pinball_90"))
 
 
 @query(f"""WITH {OBSERVATIONS}, t AS (SELECT * FROM obs WHERE operating_day < DATE '2024-01-16'), g AS (SELECT bpuic, quantile_disc(delay, 0.8) AS p FROM t GROUP BY 1), v AS (SELECT delay, coalesce(p, (SELECT quantile_disc(delay, 0.8) FROM t)) AS p FROM obs LEFT JOIN g USING (bpuic) WHERE operating_day >= DATE '2024-01-16')
-  SELECT round(avg(CASE WHEN delay >= p THEN 0.8 * (delay - p) ELSE (1 - 0.8) * (p - delay) END), 4) AS pinball_80 FROM v""")
+  SELECT round(avg(CASE WHEN delay >= p THEN 0.8 * (delay - p) ELSE (1 - 0.8) * (p - delay) END) + 1e-9, 4) AS pinball_80 FROM v""")
 def a11_baseline_group(spark, d):
     o = observations(spark, d)
     scored = evaluation.group_baseline(o.filter("operating_day >= '2024-01-16'"), o.filter("operating_day < '2024-01-16'"), ["bpuic"], "delay", 0.8)
     return evaluation.pinball_losses(scored, "delay", {0.8: "predicted"}).select(R4("pinball_80").alias("pinball_80"))
 
 
-@query("""SELECT round(sqrt(avg((50 - value) * (50 - value))), 4) AS rmse, round(avg(abs(50 - value)), 4) AS mae, round(1 - sum((50 - value) * (50 - value)) / (var_pop(value) * count(*)), 6) AS r2, round(avg(50 - value), 4) AS bias,
-  round(quantile_disc(abs(50 - value), 0.9), 4) AS p90_abs, round(quantile_disc(abs(50 - value), 0.95), 4) AS p95_abs, round(avg(CASE WHEN 50 - value < 0 THEN 1.0::DOUBLE ELSE 0 END), 4) AS under_rate FROM events""")
+@query("""SELECT round(sqrt(avg((50 - value) * (50 - value))) + 1e-9, 4) AS rmse, round(avg(abs(50 - value)) + 1e-9, 4) AS mae, round(1 - sum((50 - value) * (50 - value)) / (var_pop(value) * count(*)), 6) AS r2, round(avg(50 - value) + 1e-9, 4) AS bias,
+  round(quantile_disc(abs(50 - value), 0.9) + 1e-9, 4) AS p90_abs, round(quantile_disc(abs(50 - value), 0.95) + 1e-9, 4) AS p95_abs, round(avg(CASE WHEN 50 - value < 0 THEN 1.0::DOUBLE ELSE 0 END) + 1e-9, 4) AS under_rate FROM events""")
 def a12_regression_metrics(spark, d):
     m = evaluation.regression_metrics(read(spark, d, "events", "value").withColumn("p", F.lit(50.0)), "value", "p")
-    return m.select(*[F.round(c, 6 if c == "r2" else 4).alias(c) for c in m.columns])
+    return m.select(*[(F.round(c, 6) if c == "r2" else R4(c)).alias(c) for c in m.columns])
 
 
 @query(None)
@@ -631,12 +631,12 @@ def a15_coverage(spark, d):
     return observations(spark, d).agg(F.count("*").alias("n"), *[F.count_distinct(c).alias(n) for c, n in (("operating_day", "days"), ("trip_id", "trips"), ("bpuic", "stops"), ("transport", "modes"), ("user_id", "users"), ("hour", "hours"))])
 
 
-@query("SELECT event_type, count(value) AS n, round(avg(value), 4) AS mean, round(stddev(value), 4) AS sd, min(value) AS least, max(value) AS most, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.9) AS p90, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY 1")
+@query("SELECT event_type, count(value) AS n, round(avg(value) + 1e-9, 4) AS mean, round(stddev(value) + 1e-9, 4) AS sd, min(value) AS least, max(value) AS most, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.9) AS p90, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY 1")
 def a16_summary(spark, d):
     return evaluation.summary(read(spark, d, "events", "event_type", "value"), "value", ["event_type"]).withColumn("mean", R4("mean")).withColumn("sd", R4("sd"))
 
 
-@query("SELECT event_type, count(*) AS n, round(100.0::DOUBLE * sum(CASE WHEN value <= 3 THEN 1 ELSE 0 END) / count(*), 4) AS on_time_pct, round(100.0::DOUBLE * count(*) FILTER (WHERE value > 120) / count(*), 4) AS extreme_pct FROM events GROUP BY 1")
+@query("SELECT event_type, count(*) AS n, round(100.0::DOUBLE * sum(CASE WHEN value <= 3 THEN 1 ELSE 0 END) / count(*) + 1e-9, 4) AS on_time_pct, round(100.0::DOUBLE * count(*) FILTER (WHERE value > 120) / count(*) + 1e-9, 4) AS extreme_pct FROM events GROUP BY 1")
 def a17_quality_pct(spark, d):
     pct = lambda c: R4(100.0 * F.count_if(c) / F.count("*"))
     return read(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), pct(F.col("value") <= 3).alias("on_time_pct"), pct(F.col("value") > 120).alias("extreme_pct"))
@@ -682,7 +682,7 @@ def a24_hourly_p90(spark, d):
     return observations(spark, d).groupBy(F.date_trunc("hour", "ts").alias("hour_start"), "bpuic").agg(F.percentile_approx("delay", F.lit(0.9), F.lit(1_000_000)).alias("p90"))
 
 
-@query(f"WITH {OBSERVATIONS} SELECT hour, count(*) AS n, round(avg(delay), 4) AS mean, quantile_disc(delay, 0.5) AS median, quantile_disc(delay, 0.9) AS p90 FROM obs GROUP BY 1")
+@query(f"WITH {OBSERVATIONS} SELECT hour, count(*) AS n, round(avg(delay) + 1e-9, 4) AS mean, quantile_disc(delay, 0.5) AS median, quantile_disc(delay, 0.9) AS p90 FROM obs GROUP BY 1")
 def a25_hour_profile(spark, d):
     p = F.percentile_approx("delay", [0.5, 0.9], 1_000_000)
     g = observations(spark, d).groupBy("hour").agg(F.count("*").alias("n"), R4(F.avg("delay")).alias("mean"), p.alias("p"))
@@ -726,7 +726,7 @@ def a32_top_operators(spark, d):
 
 
 _REPLAY = """SELECT event_id, event_type AS stratum, CASE hour(ts) % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 0.8 ELSE 0.9 END AS confidence_q, CASE WHEN event_id % 11 <> 0 THEN value < 60 END AS std_success, CASE WHEN event_id % 13 <> 0 THEN value < 90 END AS rob_success, value AS std_ms, value / 2 AS rob_ms, event_id % 4 = 0 AS routes_identical, (event_id % 5) / 5.0::DOUBLE AS overlap FROM events"""
-_RMEANS = "count(*) AS n, round(avg(std_success::INT), 4) AS std_success, round(avg(rob_success::INT), 4) AS rob_success, round(avg(std_ms), 4) AS std_ms, round(avg(rob_ms), 4) AS rob_ms, round(avg(routes_identical::INT), 4) AS routes_identical, round(avg(overlap), 4) AS overlap"
+_RMEANS = "count(*) AS n, round(avg(std_success::INT) + 1e-9, 4) AS std_success, round(avg(rob_success::INT) + 1e-9, 4) AS rob_success, round(avg(std_ms) + 1e-9, 4) AS std_ms, round(avg(rob_ms) + 1e-9, 4) AS rob_ms, round(avg(routes_identical::INT) + 1e-9, 4) AS routes_identical, round(avg(overlap) + 1e-9, 4) AS overlap"
 
 
 def _replays(spark, d):
@@ -752,7 +752,7 @@ def a34_replay_strata(spark, d):
     return _rounded(evaluation.replay_summary(_replays(spark, d), ["stratum", "confidence_q"]), "stratum", "confidence_q")
 
 
-_CAL = " UNION ALL ".join(f"SELECT {q}::DOUBLE AS q, round(avg(CASE WHEN {p} >= value THEN 1.0::DOUBLE ELSE 0 END), 4) AS success, round({p} / 60.0::DOUBLE, 4) AS mean_buffer_min, round(avg(CASE WHEN {p} >= value THEN 1.0::DOUBLE ELSE 0 END) - {q}, 4) AS gap FROM events" for q, p in ((0.5, 35), (0.8, 80), (0.9, 113)))
+_CAL = " UNION ALL ".join(f"SELECT {q}::DOUBLE AS q, round(avg(CASE WHEN {p} >= value THEN 1.0::DOUBLE ELSE 0 END) + 1e-9, 4) AS success, round({p} / 60.0::DOUBLE + 1e-9, 4) AS mean_buffer_min, round(avg(CASE WHEN {p} >= value THEN 1.0::DOUBLE ELSE 0 END) - {q} + 1e-9, 4) AS gap FROM events" for q, p in ((0.5, 35), (0.8, 80), (0.9, 113)))
 
 
 @query(_CAL)
@@ -762,14 +762,14 @@ def a35_calibration(spark, d):
     return c.select("q", *[R4(n).alias(n) for n in ("success", "mean_buffer_min", "gap")])
 
 
-@query("SELECT event_type, count(value) AS n, round(avg(value), 4) AS mean, min(value) AS least, max(value) AS most, round(CASE WHEN count(value) < 20 THEN max(value) ELSE quantile_cont(value, 0.95) END, 4) AS p95, round(sum(value), 4) AS total FROM events GROUP BY 1")
+@query("SELECT event_type, count(value) AS n, round(avg(value) + 1e-9, 4) AS mean, min(value) AS least, max(value) AS most, round(CASE WHEN count(value) < 20 THEN max(value) ELSE quantile_cont(value, 0.95) END + 1e-9, 4) AS p95, round(sum(value) + 1e-9, 4) AS total FROM events GROUP BY 1")
 def a37_latency(spark, d):
     s = evaluation.latency_stats(read(spark, d, "events", "event_type", "value"), "value", ["event_type"])
     return s.select("event_type", "n", R4("mean").alias("mean"), "least", "most", R4("p95").alias("p95"), R4("total").alias("total"))
 
 
-@query(f"""WITH {OBSERVATIONS}, b AS (SELECT bpuic, hour, quantile_disc(delay, 0.5) AS p50, quantile_disc(delay, 0.9) AS p90 FROM obs GROUP BY 1, 2) SELECT round(count(*) FILTER (WHERE p50 < 30)::DOUBLE / count(*), 4) AS share_0_30, round(count(*) FILTER (WHERE p50 >= 30 AND p50 < 60)::DOUBLE / count(*), 4) AS share_30_60,
-  round(count(*) FILTER (WHERE p50 >= 60 AND p50 < 120)::DOUBLE / count(*), 4) AS share_60_120, round(count(*) FILTER (WHERE p50 >= 120 AND p50 < 300)::DOUBLE / count(*), 4) AS share_120_300, round(count(*) FILTER (WHERE p50 >= 300)::DOUBLE / count(*), 4) AS share_300_up, round(median(p50), 4) AS median_p50, round(avg(p90), 4) AS mean_p90 FROM b""")
+@query(f"""WITH {OBSERVATIONS}, b AS (SELECT bpuic, hour, quantile_disc(delay, 0.5) AS p50, quantile_disc(delay, 0.9) AS p90 FROM obs GROUP BY 1, 2) SELECT round(count(*) FILTER (WHERE p50 < 30)::DOUBLE / count(*) + 1e-9, 4) AS share_0_30, round(count(*) FILTER (WHERE p50 >= 30 AND p50 < 60)::DOUBLE / count(*) + 1e-9, 4) AS share_30_60,
+  round(count(*) FILTER (WHERE p50 >= 60 AND p50 < 120)::DOUBLE / count(*) + 1e-9, 4) AS share_60_120, round(count(*) FILTER (WHERE p50 >= 120 AND p50 < 300)::DOUBLE / count(*) + 1e-9, 4) AS share_120_300, round(count(*) FILTER (WHERE p50 >= 300)::DOUBLE / count(*) + 1e-9, 4) AS share_300_up, round(median(p50) + 1e-9, 4) AS median_p50, round(avg(p90) + 1e-9, 4) AS mean_p90 FROM b""")
 def a38_bucket_summary(spark, d):
     b = observations(spark, d).groupBy("bpuic", "hour").agg(F.percentile_approx("delay", [0.5, 0.9], 1_000_000).alias("p")).select(F.get("p", F.lit(0)).alias("p50"), F.get("p", F.lit(1)).alias("p90"))
     s = evaluation.bucket_summary(b, "p50", "p90")
@@ -816,13 +816,13 @@ def a44_approx_quantile(spark, d):
     return spark.createDataFrame([tuple(q)], "p50 double, p90 double")
 
 
-@query(f"WITH {OBSERVATIONS}, h AS (SELECT date_trunc('hour', ts) AS h, bpuic, quantile_disc(delay, 0.9) AS p90 FROM obs GROUP BY 1, 2) SELECT bpuic, round(least(avg(p90), 60), 4) AS heat FROM h GROUP BY 1")
+@query(f"WITH {OBSERVATIONS}, h AS (SELECT date_trunc('hour', ts) AS h, bpuic, quantile_disc(delay, 0.9) AS p90 FROM obs GROUP BY 1, 2) SELECT bpuic, round(least(avg(p90), 60) + 1e-9, 4) AS heat FROM h GROUP BY 1")
 def a45_heat(spark, d):
     h = observations(spark, d).groupBy(F.date_trunc("hour", "ts").alias("h"), "bpuic").agg(F.percentile_approx("delay", F.lit(0.9), F.lit(1_000_000)).alias("p90"))
     return h.groupBy("bpuic").agg(R4(F.least(F.avg("p90"), F.lit(60.0))).alias("heat"))
 
 
-@query("SELECT event_id % 5 AS sample, count(*) AS n, round(avg(value), 4) AS mean, quantile_disc(value, 0.5) AS median, round(stddev(value), 4) AS sd, round(avg(CASE WHEN value > 120 THEN 1.0::DOUBLE ELSE 0 END), 4) AS excessive FROM events GROUP BY 1")
+@query("SELECT event_id % 5 AS sample, count(*) AS n, round(avg(value) + 1e-9, 4) AS mean, quantile_disc(value, 0.5) AS median, round(stddev(value) + 1e-9, 4) AS sd, round(avg(CASE WHEN value > 120 THEN 1.0::DOUBLE ELSE 0 END) + 1e-9, 4) AS excessive FROM events GROUP BY 1")
 def a46_sampling_stability(spark, d):
     g = read(spark, d, "events", "event_id", "value").groupBy((F.col("event_id") % 5).alias("sample"))
     return g.agg(F.count("*").alias("n"), R4(F.avg("value")).alias("mean"), F.percentile_approx("value", F.lit(0.5), F.lit(1_000_000)).alias("median"), R4(F.stddev("value")).alias("sd"), R4(F.avg((F.col("value") > 120).cast("double"))).alias("excessive"))
