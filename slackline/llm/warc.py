@@ -163,7 +163,11 @@ def join_revisits(records: DataFrame) -> DataFrame:
     """Each record with the payload's size and digest, which revisits take from the response they refer to."""
     originals = records.filter("record_type = 'response'").groupBy(F.col("record_id").alias("_id"))
     originals = originals.agg(F.max("page_id").alias("_page"), F.max("payload_bytes").alias("_bytes"), F.max("payload_digest").alias("_digest"))
-    joined = records.join(originals, F.col("refers") == F.col("_id"), "left")
+    # a table of its own, so that the join can be split where very many revisits refer to one response;
+    # responses, which refer to nothing, are dealt by their own id
+    originals = storage.written(originals, "warc-originals")
+    keyed = records.withColumn("_key", F.coalesce("refers", F.concat(F.lit("own:"), F.col("record_id"))))
+    joined = keyed.join(originals, F.col("_key") == F.col("_id"), "left")
     return joined.select("page_id", F.coalesce("payload_bytes", "_bytes").alias("payload_bytes"), F.coalesce("payload_digest", "_digest").alias("payload_digest"), "record_type", F.col("_page").alias("refers_to"))
 
 
@@ -172,7 +176,7 @@ def archive_round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     spark = pages.sparkSession
     path = storage.new_path(spark, "warc")
     write_archives(resolve_revisits(pages, min_bytes), path)
-    return join_revisits(read_archives(spark, path, payloads=False))
+    return join_revisits(storage.written(read_archives(spark, path, payloads=False), "warc-records"))
 
 
 ORACLE = """
