@@ -31,3 +31,19 @@ def test_add_delays_to_every_ride(spark, small, sql):
     whole = f"WITH {STOP_TIMES}, {OBSERVATIONS}, q AS (SELECT bpuic, quantile_disc(delay, 0.9) AS p90 FROM obs GROUP BY 1) SELECT trip_id, stop_sequence, coalesce(p90, 0.0) AS predicted FROM st LEFT JOIN q ON bpuic = stop"
     rows = same(spark, small, sql, "d51_add_delays", whole)
     assert len(rows) == sql.execute("SELECT count(*) FROM lineitem").fetchone()[0]
+
+
+def test_align_all_trips(spark, small, sql):
+    st = sql.execute(f"WITH {STOP_TIMES} SELECT trip_id, stop, stop_sequence, arr_secs FROM st").fetchall()
+    stops, at = {}, {}
+    for trip, stop, k, secs in st:
+        stops.setdefault(trip, set()).add(stop)
+        at.setdefault((stop, trip % 3, None if k == 1 else k, secs), set()).add(trip)
+    met = {}
+    for trip, stop, k, secs in st:
+        for other in at[stop, trip % 3, None if k == 1 else k, secs]:
+            met.setdefault((trip, other), set()).add(stop)
+    want = sorted((trip, f"2024-01-{1 + other % 5:02d}", other) for (trip, other), found in met.items() if found == stops[trip])
+    got = QUERIES["j23_null_safe_align"](spark, small).select("trip_id", "day", "obs_trip").collect()
+    assert sorted(map(tuple, got)) == want
+    assert {trip for trip, _, _ in want} == set(stops)
