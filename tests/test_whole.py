@@ -1,9 +1,12 @@
 """Queries against SQL or brute force over whole tables, where the registered SQL reads a share of the ids."""
 
+import heapq
+
 import duckdb
 import pytest
 
 from slackline.queries import QUERIES
+from slackline.queries.domain import _NODES
 from slackline.sources.roles import OBSERVATIONS, STOP_TIMES
 
 
@@ -47,3 +50,32 @@ def test_align_all_trips(spark, small, sql):
     got = QUERIES["j23_null_safe_align"](spark, small).select("trip_id", "day", "obs_trip").collect()
     assert sorted(map(tuple, got)) == want
     assert {trip for trip, _, _ in want} == set(stops)
+
+
+def test_frontier_of_every_query(spark, small, sql):
+    best = {}
+    for trip, stop, secs in sql.execute(f"WITH {STOP_TIMES} SELECT trip_id, stop, arr_secs FROM st").fetchall():
+        at = best.setdefault(trip, {})
+        at[secs] = min(at.get(secs, 10**9), secs + stop * 60)
+    want = sorted((trip, dep, arr) for trip, at in best.items() for dep, arr in at.items() if all(arr < a for t, a in at.items() if t > dep))
+    got = QUERIES["d58_sampled_frontier"](spark, small).select("query_id", "departure_secs", "arrival_secs").collect()
+    assert sorted(map(tuple, got)) == want
+
+
+def test_walks_from_every_stop(spark, small, sql):
+    edges = {}
+    for a, b, metres in sql.execute(f"WITH {_NODES} SELECT a0, b0, metres FROM edge").fetchall():
+        edges.setdefault(a, []).append((b, metres))
+    want = {}
+    for (source,) in sql.execute("SELECT s_suppkey FROM supplier").fetchall():
+        heap, done = [(0.0, source)], {}
+        while heap:
+            metres, node = heapq.heappop(heap)
+            if node not in done:
+                done[node] = metres
+                for b, more in edges.get(node, []):
+                    if metres + more <= 45_000:
+                        heapq.heappush(heap, (metres + more, b))
+        want |= {(source, node): metres for node, metres in done.items()}
+    got = {(r["source"], r["node"]): r["metres"] for r in QUERIES["d7_walk_relaxation"](spark, small).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - m) < 0.01 for k, m in want.items())
