@@ -1007,7 +1007,7 @@ def u5_except(spark, d):
 @query("""WITH a AS (SELECT DISTINCT l_suppkey AS s, l_linenumber AS n FROM lineitem WHERE l_discount < 0.02 AND l_orderkey % 50 = 0), b AS (SELECT DISTINCT l_suppkey AS s, l_linenumber AS n FROM lineitem WHERE l_discount > 0.08 AND l_orderkey % 50 = 0)
   SELECT *, 'left' AS side FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT *, 'right' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""")
 def u6_symmetric_difference(spark, d):
-    li = read(spark, d, "lineitem").filter("l_orderkey % 50 = 0")
+    li = read(spark, d, "lineitem", "l_suppkey", "l_linenumber", "l_discount")
     part = lambda c: li.filter(c).select(F.col("l_suppkey").alias("s"), F.col("l_linenumber").alias("n")).distinct()
     a, b = part("l_discount < 0.02"), part("l_discount > 0.08")
     return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))

@@ -79,3 +79,13 @@ def test_walks_from_every_stop(spark, small, sql):
         want |= {(source, node): metres for node, metres in done.items()}
     got = {(r["source"], r["node"]): r["metres"] for r in QUERIES["d7_walk_relaxation"](spark, small).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - m) < 0.01 for k, m in want.items())
+
+
+def test_symmetric_difference_of_all_rows(spark, small, sql, tmp_path):
+    part = "SELECT l_suppkey AS s, l_linenumber AS n FROM lineitem WHERE l_discount"
+    whole = f"SELECT *, 'left' AS side FROM ({part} < 0.02 EXCEPT {part} > 0.08) UNION ALL SELECT *, 'right' FROM ({part} > 0.08 EXCEPT {part} < 0.02)"
+    same(spark, small, sql, "u6_symmetric_difference", whole)
+    values = "(1, 7, 1, 0.01), (2, 7, 1, 0.01), (3, 8, 2, 0.01), (50, 8, 2, 0.09), (51, 9, 3, 0.1), (52, 9, 4, 0.05)"
+    sql.execute(f"COPY (SELECT * FROM (VALUES {values}) t(l_orderkey, l_suppkey, l_linenumber, l_discount)) TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+    rows = QUERIES["u6_symmetric_difference"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, rows)) == [(7, 1, "left"), (9, 3, "right")]
