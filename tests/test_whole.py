@@ -89,3 +89,9 @@ def test_symmetric_difference_of_all_rows(spark, small, sql, tmp_path):
     sql.execute(f"COPY (SELECT * FROM (VALUES {values}) t(l_orderkey, l_suppkey, l_linenumber, l_discount)) TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
     rows = QUERIES["u6_symmetric_difference"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, rows)) == [(7, 1, "left"), (9, 3, "right")]
+
+
+def test_full_outer_of_all_orders(spark, small, sql):
+    part = "SELECT CAST(o_orderdate AS DATE)::VARCHAR AS day, count(*) AS n FROM orders WHERE o_orderstatus ="
+    rows = same(spark, small, sql, "j25_full_outer", f"SELECT day, coalesce(a.n, 0) AS n_f, coalesce(b.n, 0) AS n_o FROM ({part} 'F' GROUP BY 1) a FULL JOIN ({part} 'O' GROUP BY 1) b USING (day)")
+    assert sum(f + o for _, f, o in rows) == sql.execute("SELECT count(*) FROM orders WHERE o_orderstatus IN ('F', 'O')").fetchone()[0]
