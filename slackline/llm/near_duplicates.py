@@ -19,8 +19,9 @@ a row a document and band are shuffled. Buckets are counted by partial sums. Hot
 skewed joins, which Spark splits.
 
 Defined results: null, empty and blank texts have no shingles and are linked with nothing;
-rows that share an id are one document, whose links are pooled; a row with a null id
-takes no part (component_id null, kept); an empty table gives an empty result.
+in near_duplicates() rows that share an id are one document, whose links are pooled, and a
+row with a null id takes no part (component_id null, kept); in deduplicate() each row is
+a document of its own, whatever its id; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -217,10 +218,11 @@ def _left_over(members: DataFrame, component: DataFrame, nodes: DataFrame, texts
 
 
 def _placed(rows: DataFrame, texts_of: DataFrame, p: NearParameters) -> DataFrame:
-    """_row, doc_id, n_shingles and component_id of each row of sketches. texts_of: (doc_id, _text) of all documents."""
-    taking_part = rows.filter("digest is not null and doc_id is not null")
-    same = storage.written(taking_part.groupBy("digest").agg(F.min("doc_id").alias("node")), "near-same")
-    nodes = taking_part.select("doc_id", "digest", "n_shingles", "keys", "signature").join(same, "digest").filter("doc_id = node")
+    """_row, doc_id, n_shingles and component_id of each row of sketches. A row's _node says whose links it has.
+    texts_of: (_node, _text) of all rows."""
+    taking_part = rows.filter("digest is not null and _node is not null")
+    same = storage.written(taking_part.groupBy("digest").agg(F.min("_node").alias("node")), "near-same")
+    nodes = taking_part.select("_node", "digest", "n_shingles", "keys", "signature").join(same, "digest").filter("_node = node")
     nodes = storage.written(nodes.groupBy("digest", "node").agg(F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"), F.first("signature").alias("signature")), "near-nodes")
 
     buckets = nodes.select(F.explode("keys").alias("key"), "node")
@@ -234,19 +236,19 @@ def _placed(rows: DataFrame, texts_of: DataFrame, p: NearParameters) -> DataFram
     spokes = members.join(hubs, "key").filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     spokes = storage.written(spokes, "near-spokes")
 
-    texts = texts_of.select(F.col("doc_id").alias("node"), F.col("_text").alias("text"))
+    texts = texts_of.select(F.col("_node").alias("node"), F.col("_text").alias("text"))
     links = _verified(_agreeing(spokes, nodes, p), texts, p)
     # one id may have rows with different sets: their nodes are one document
-    held = taking_part.select("doc_id", "digest").join(same, "digest").select("doc_id", "node").distinct()
-    several = held.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").select("doc_id", "a")
-    pooled = storage.written(held.join(several, "doc_id").select("a", F.col("node").alias("b")).filter("a <> b"), "near-pooled")
+    held = taking_part.select("_node", "digest").join(same, "digest").select("_node", "node").distinct()
+    several = held.groupBy("_node").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").select("_node", "a")
+    pooled = storage.written(held.join(several, "_node").select("a", F.col("node").alias("b")).filter("a <> b"), "near-pooled")
     first = components(links.unionByName(pooled))
     more = _left_over(members.select("key", "node"), first, nodes, texts, p)
     final = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
     where = same.join(final, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return rows.select("_row", "doc_id", "n_shingles", "digest").join(where, "digest", "left").select("_row", "doc_id", "n_shingles", component.alias("component_id"))
+    component = F.when(F.col("_node").isNotNull(), F.coalesce("component", "_node"))
+    return rows.select("_row", "doc_id", "_node", "n_shingles", "digest").join(where, "digest", "left").select("_row", "doc_id", "n_shingles", component.alias("component_id"))
 
 
 def _sketched(df: DataFrame, text: str, p: NearParameters, keep: list[str]) -> DataFrame:
@@ -258,24 +260,25 @@ def _sketched(df: DataFrame, text: str, p: NearParameters, keep: list[str]) -> D
 def near_duplicates(df: DataFrame, parameters: NearParameters = NearParameters(), text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row."""
     named = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("_text"))
-    placed = _placed(_sketched(named, "_text", parameters, ["doc_id"]), named, parameters)
+    own = F.col("doc_id").alias("_node")
+    placed = _placed(_sketched(named, "_text", parameters, ["doc_id"]).select("*", own), named.select(own, "_text"), parameters)
     return placed.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def deduplicate(docs: DataFrame, parameters: NearParameters, text: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: of its smallest id, and of rows that repeat that id the first.
-    Rows with a null id stay."""
+    """``docs`` with one row of each component: of its smallest id, null after all others, and of rows that
+    repeat that id the first. Links are between rows, so different texts under one id are told apart."""
     columns = docs.columns
     own = [f"_d{i}" for i in range(len(columns))]
     of = own[columns.index(text)]
     named = docs.toDF(*own).withColumn(of, F.col(of).cast("string")).withColumn("doc_id", F.col(own[columns.index("doc_id")]).cast("long"))
     rows = _sketched(named, of, parameters, [*own, "doc_id"])
-    placed = storage.written(_placed(rows, rows.select("doc_id", F.col(of).alias("_text")), parameters), "near-placed")
-    several = placed.groupBy("component_id").agg(F.count("*").alias("_n"), F.min("doc_id").alias("_id")).filter("_n > 1 and component_id is not null").select("component_id", "_id")
-    several = storage.written(several, "near-several")
-    inside = placed.join(several, "component_id")
-    # rows that repeat the smallest id have one first row; written on its own, so that the join below can be split
-    first = storage.written(inside.filter("doc_id = _id").groupBy("component_id").agg(F.min("_row").alias("_first")), "near-first")
+    rows = rows.withColumn("_node", F.col("_row"))
+    placed = storage.written(_placed(rows, rows.select("_node", F.col(of).alias("_text")), parameters), "near-placed")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
+    several = placed.groupBy("component_id").agg(F.count("*").alias("_n"), least.alias("_least")).filter("_n > 1")
+    # written on its own, so that the join below can be split
+    first = storage.written(several.select("component_id", F.col("_least._row").alias("_first")), "near-first")
     gone = placed.join(first, "component_id").filter("_row <> _first").select("_row")
     gone = storage.written(gone, "near-gone")  # its size is known when the join is planned
     return rows.join(gone, "_row", "left_anti").select(*own).toDF(*columns)
