@@ -2,7 +2,7 @@
 
 Base expressions find e-mail addresses, IP addresses, card and telephone numbers; these
 are the seeds. Words around the seeds are lexical patterns. Spark scores the graph of
-patterns and instances (values found in the corpus) in rounds: a pattern is as sure as the
+patterns and instances (values found in the corpus) in rounds until the scores settle: a pattern is as sure as the
 share of its instances that are known, an instance as sure as its patterns together make it.
 Values that only look like an identifier (numbers that fail a check, spelled-out
 addresses) are added where patterns of high confidence surround them.
@@ -30,7 +30,8 @@ from slackline.llm import storage
 from slackline.llm.frames import internal, map_texts
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS = 3
+#: Rounds of scoring after which it is an error that scores still change.
+MOST_ROUNDS = 100
 #: A pattern counts from so many different known values on, and at this share of its values.
 LEAST_SUPPORT, PATTERN_SURE = 3, 0.7
 #: An unseen value is added at this confidence.
@@ -105,7 +106,7 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
             found.append((*m.span(), may))
     for m in _SPELLED.finditer(text):
         start = m.start()
-        while start > 0 and text[start - 1] in _LOCAL and m.start() - start < 64:
+        while start > 0 and text[start - 1] in _LOCAL:
             start -= 1
         if start < m.start():
             found.append((start, m.end(), [0]))
@@ -141,21 +142,28 @@ def mentions(text: str | None) -> tuple[list[dict]]:
     return ([{"start": s, "end": e, "kind": k, "may": may, "value": "".join(text[s:e].lower().split()), "patterns": patterns(text, s, e)} for s, e, k, may in rows],)
 
 
-def discover(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """value and kind of unseen identifiers. found: (value, kind or null, may, patterns), a row for each mention."""
+def discover(found: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
+    """value and kind of unseen identifiers. found: (value, kind or null, may, patterns), a row for each mention.
+
+    Scores only grow from round to round; the rounds end when none does by a millionth."""
     edges = storage.written(found.select("value", "kind", F.explode("may").alias("may"), F.explode_outer("patterns").alias("pattern")).distinct(), "pii-edges")
     known = edges.filter("kind is not null").select("value", "kind", F.lit(1.0).alias("score")).distinct()
     size = edges.filter("pattern is not null").groupBy("pattern").agg(F.count_distinct("value").alias("size"))
     links = edges.filter("pattern is not null").select("pattern", "value").distinct()
     open_ = edges.filter("kind is null and pattern is not null").select("pattern", "value", F.col("may").alias("kind")).distinct()
     open_ = open_.join(known.select("value").distinct(), "value", "left_anti")
-    scores = known
-    for k in range(rounds):
+    scores, state = known, None
+    for k in range(most_rounds):
         sums = links.join(scores, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("sum"))
         sure = sums.join(size, "pattern").withColumn("sure", F.col("sum") / F.col("size")).filter((F.col("sum") >= LEAST_SUPPORT) & (F.col("sure") >= PATTERN_SURE))
         doubt = F.sum(F.log(F.greatest(F.lit(1.0) - F.col("sure") * F.col("sum") / (F.col("sum") + 1), F.lit(1e-12))))
         new = open_.join(sure.select("pattern", "kind", "sure", "sum"), ["pattern", "kind"]).groupBy("value", "kind").agg((F.lit(1.0) - F.exp(doubt)).alias("score"))
         scores = storage.written(known.unionByName(new), f"pii-round{k}")
+        before, state = state, tuple(scores.agg(F.count("*"), F.sum(F.round("score", 6).cast("decimal(38,6)"))).first())
+        if state == before:
+            break
+    else:
+        raise RuntimeError(f"scores didn't settle in {most_rounds} rounds")
     best = scores.join(known.select("value").distinct(), "value", "left_anti").filter(F.col("score") >= INSTANCE_SURE)
     return best.groupBy("value").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("found"))
 
