@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import suppress
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,7 +13,14 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Text bytes that are held as Python objects at a time.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
+
+
+def release() -> None:
+    """Give the memory that a task has freed back to the system; a worker lives on and would hold it."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only the GNU C library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def parts(column: pa.Array) -> Iterator[pa.Array]:
@@ -50,8 +59,9 @@ def map_texts(df: DataFrame, text: str, fields: list[T.StructField], start: Call
                 rows = [function(x) for x in part.to_pylist()]
                 made.append(pa.StructArray.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(arrow)], fields=list(arrow)))
             yield pa.concat_arrays(made)
+        release()
 
-    of = F.arrow_udf(run, schema)
+    of = F.arrow_udf(run, schema).asNondeterministic()  # else a plan may run it once for each column that is asked of it
     kept = [F.col(f"`{c}`") for c in keep]
     return df.select(*kept, of(F.col(f"`{text}`")).alias("_made")).select(*kept, "_made.*")
 

@@ -24,10 +24,11 @@ def training_sample(documents: DataFrame, labels: DataFrame, label: str, allowed
     """(doc_id, label, text) of the allowed rows that come first by hash of the id, at most
     ``per_class`` of each class. allowed: a condition on doc_id, by which held-out rows stay out.
 
-    The chosen ids, no more than 2 * per_class rows of two numbers, are broadcast, so the
-    texts aren't shuffled.
+    The chosen ids, no more than 2 * per_class rows of two numbers, are broadcast, so only the
+    chosen texts are shuffled. An id that many rows repeat is one row, with the least of its texts.
     """
     rows = clean_labels(labels, label).filter(allowed).withColumn("_h", F.xxhash64("doc_id"))
     chosen = [rows.filter(F.col("label") == k).orderBy("_h", "doc_id").limit(per_class) for k in (0, 1)]
     ids = chosen[0].unionByName(chosen[1]).select("doc_id", "label")
-    return documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    chosen_rows = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
+    return chosen_rows.groupBy("doc_id").agg(F.min("label").alias("label"), F.min("text").alias("text"))

@@ -15,13 +15,16 @@ With 32 bands of 5 minima a pair at similarity 0.85 is missed as a candidate wit
 7e-9, one at 0.80 with 3e-6; 64-bit hashes stand for shingles.
 
 Cost: texts are read twice, the second time only those of candidates; a row a document and
-a row a document and band are shuffled. Buckets are counted by partial sums. Hot hubs are
-skewed joins, which Spark splits.
+a row a document and band are shuffled. Buckets are counted by partial sums. What a hot key
+(a text, bucket, hub or component that very many rows share) is joined to is a written table, and
+nothing above the join needs its rows together, so Spark splits the key over many tasks. A
+pair of blocks holds 2 * BLOCK members and 2 * BLOCK_SHINGLES shingles on average, or one long text.
 
 Defined results: null, empty and blank texts have no shingles and are linked with nothing;
 in near_duplicates() rows that share an id are one document, whose links are pooled, and a
 row with a null id takes no part (component_id null, kept); in deduplicate() each row is
-a document of its own, whatever its id; an empty table gives an empty result.
+a document of its own, whatever its id; other columns, whatever their names, aren't read, and
+deduplicate() returns them as they were; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,12 +40,12 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from slackline.llm import membership, storage
-from slackline.llm.components import components
+from slackline.llm.components import stars
 from slackline.llm.frames import map_texts
 from slackline.llm.textstats import utf8
 
-#: Members of a block when what is left of a bucket is compared.
-BLOCK = 512
+#: Members of a block, and shingles of all of them, when what is left of a bucket is compared.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 19
 
 
 @dataclass(frozen=True)
@@ -115,7 +118,7 @@ _SKETCH = [T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.
 
 
 def _agreeing(pairs: DataFrame, signatures: DataFrame, p: NearParameters) -> DataFrame:
-    """The pairs (a, b) whose signatures don't rule them out."""
+    """Of different pairs (a, b) those whose signatures don't rule them out."""
     least = int(p.functions * (p.percent / 100 - p.margin))
     sides = [signatures.select(F.col("node").alias(c), F.col("signature").alias(f"_{c}"), F.col("n_shingles").alias(f"n{c}")) for c in ("a", "b")]
     joined = pairs.join(sides[0], "a").join(sides[1], "b").filter((100 * F.col("na") >= p.percent * F.col("nb")) & (100 * F.col("nb") >= p.percent * F.col("na")))
@@ -129,32 +132,48 @@ def _agreeing(pairs: DataFrame, signatures: DataFrame, p: NearParameters) -> Dat
             keep = pa.array((x == y).sum(1) >= least)
             yield pa.RecordBatch.from_arrays([column("a").filter(keep), column("b").filter(keep)], schema=to_arrow_schema(schema))
 
-    return joined.select("a", "b", "_a", "_b").mapInArrow(run, schema).distinct()
+    return joined.select("a", "b", "_a", "_b").mapInArrow(run, schema)
 
 
 def _sets(nodes: DataFrame, texts: DataFrame, p: NearParameters) -> DataFrame:
-    """(node, set) of the given nodes, and perhaps of a few others. texts: (node, text) of all documents, which aren't shuffled."""
-    field = T.StructField("set", T.ArrayType(T.LongType()))
-    wanted = membership.likely(texts, "node", membership.bitmap(nodes, "node"))
-    return storage.written(map_texts(wanted, "text", [field], lambda: lambda t: (np.sort(shingles(t, p.words).view(np.int64)).tolist(),), ["node"]), "near-sets")
+    """(node, set) of nodes (node, place, digest). texts: (place, text) of all rows, which aren't shuffled."""
+    nodes = storage.written(nodes, "near-wanted")
+    fields = [T.StructField("digest", T.BinaryType()), T.StructField("set", T.ArrayType(T.LongType()))]
 
+    def start():
+        from xxhash import xxh3_128_digest
 
-def _verified(pairs: DataFrame, texts: DataFrame, p: NearParameters) -> DataFrame:
+        def made(text):
+            found = shingles(text, p.words)
+            return xxh3_128_digest(found.tobytes()), np.sort(found.view(np.int64)).tolist()
+
+        return made
+
+    made = map_texts(membership.likely(texts, "place", membership.bitmap(nodes, "place")), "text", fields, start, [])
+    single = made.groupBy("digest").agg(F.first("set").alias("set"))  # rows may repeat
+    return storage.written(single.join(nodes.select("digest", "node"), "digest").select("node", "set"), "near-sets")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, p: NearParameters) -> DataFrame:
     """The pairs (a, b) that are similar enough on their full sets."""
     pairs = storage.written(pairs, "near-agreeing")
-    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), texts, p)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = _sets(nodes.select("node", "place", "digest").join(wanted, "node", "left_semi"), texts, p)
     sides = [sets.select(F.col("node").alias(c), F.col("set").alias(f"s{c}")) for c in ("a", "b")]
     both = F.size(F.array_intersect("sa", "sb"))
     close = 100 * both >= p.percent * (F.size("sa") + F.size("sb") - both)
-    return storage.written(pairs.join(sides[0], "a").join(sides[1], "b").filter(close).select("a", "b").distinct(), "near-links")
-
-
-def _cells(members: DataFrame, component: DataFrame) -> DataFrame:
-    """(key, i, j, node, c): members of buckets that are still in several components, dealt to pairs of blocks."""
-    placed = members.join(component, "node", "left").withColumn("c", F.coalesce("component", "node")).select("key", "node", "c")
-    open_ = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n")).filter("c0 <> c1 and n > 2").select("key", "n")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = placed.join(open_, "key").withColumn("_k", blocks).withColumn("_i", F.pmod(F.xxhash64("node"), F.col("_k")).cast("int"))
+    return storage.written(pairs.join(sides[0], "a").join(sides[1], "b").filter(close).select("a", "b"), "near-links")
+
+
+def _cells(members: DataFrame, placed: DataFrame) -> DataFrame:
+    """(key, i, j, node, c, own): members of buckets that are still in several components, dealt to pairs of blocks.
+    placed: the component of every node that isn't its component's smallest."""
+    now = members.join(placed, "node", "left").select("key", "node", "n_shingles", F.coalesce("component", "node").alias("c"))
+    now = storage.written(now, "near-now")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+    open_ = now.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n"), blocks.alias("_k"))
+    open_ = storage.written(open_.filter("c0 <> c1 and n > 2").select("key", "_k"), "near-open")
+    rows = now.join(open_, "key").withColumn("_i", F.pmod(F.xxhash64("node"), F.col("_k")).cast("int"))
     rows = rows.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
     return rows.select("key", F.least("_i", "_j").alias("i"), F.greatest("_i", "_j").alias("j"), "node", "c", F.col("_i").alias("own"))
 
@@ -179,12 +198,12 @@ def _cell_pairs(table: pa.Table, p: NearParameters) -> tuple[np.ndarray, np.ndar
     return node, *(np.concatenate(z) for z in zip(*found, strict=True))
 
 
-def _left_over(members: DataFrame, component: DataFrame, nodes: DataFrame, texts: DataFrame, p: NearParameters) -> DataFrame:
+def _left_over(members: DataFrame, placed: DataFrame, nodes: DataFrame, texts: DataFrame, p: NearParameters) -> DataFrame:
     """Links (a, b) between components among all pairs of a bucket, block against block; only links leave a task.
 
     The signatures come first, and only nodes of pairs they don't rule out come with their sets."""
     cell = ["key", "i", "j"]
-    cells = _cells(members, component).join(nodes.select("node", "n_shingles", "keys", "signature"), "node")
+    cells = _cells(members, placed).join(nodes.select("node", "n_shingles", "keys", "signature"), "node")
 
     def candidates(table: pa.Table) -> pa.Table:
         _, x, y = _cell_pairs(table, p)
@@ -193,7 +212,7 @@ def _left_over(members: DataFrame, component: DataFrame, nodes: DataFrame, texts
 
     schema = T.StructType([cells.schema[c] for c in (*cell, "node", "c", "own")])
     chosen = storage.written(cells.groupBy(*cell).applyInArrow(candidates, schema), "near-cells")
-    sets = _sets(chosen.select("node").distinct(), texts, p)
+    sets = _sets(nodes.select("node", "place", "digest").join(chosen.select("node").distinct(), "node", "left_semi"), texts, p)
 
     def compare(table: pa.Table) -> pa.Table:
         node, x, y = _cell_pairs(table, p)
@@ -217,68 +236,66 @@ def _left_over(members: DataFrame, component: DataFrame, nodes: DataFrame, texts
     return storage.written(full.groupBy(*cell).applyInArrow(compare, "a long, b long"), "near-more")
 
 
-def _placed(rows: DataFrame, texts_of: DataFrame, p: NearParameters) -> DataFrame:
-    """_row, doc_id, n_shingles and component_id of each row of sketches. A row's _node says whose links it has.
-    texts_of: (_node, _text) of all rows."""
-    taking_part = rows.filter("digest is not null and _node is not null")
-    same = storage.written(taking_part.groupBy("digest").agg(F.min("_node").alias("node")), "near-same")
-    nodes = taking_part.select("_node", "digest", "n_shingles", "keys", "signature").join(same, "digest").filter("_node = node")
-    nodes = storage.written(nodes.groupBy("digest", "node").agg(F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"), F.first("signature").alias("signature")), "near-nodes")
-
-    buckets = nodes.select(F.explode("keys").alias("key"), "node")
-    shared = buckets.groupBy("key").agg(F.min("node").alias("n0"), F.max("node").alias("n1")).filter("n0 <> n1").select("key")
-    shared = storage.written(shared, "near-shared")
-    inside = membership.likely(buckets, "key", membership.bitmap(shared, "key"))
-    members = storage.written(inside.join(shared, "key").distinct(), "near-members")
-    nodes = storage.written(membership.likely(nodes, "node", membership.bitmap(members, "node")).select("node", "n_shingles", "keys", "signature"), "near-candidates")
-    company = members.join(members.groupBy("key").agg(F.count("*").alias("n")), "key").groupBy("node").agg(F.sum("n").alias("company"))
+def _linked(rows: DataFrame, texts: DataFrame, p: NearParameters, pool: bool) -> DataFrame:
+    """_row, doc_id, n_shingles and component of each row of sketches with a set; a component is its least _row.
+    texts: (place, text) of all rows; rows have their place. pool: rows with the same doc_id are linked."""
+    sound = rows.filter("digest is not null")
+    same = storage.written(sound.groupBy("digest").agg(F.min("_row").alias("node")), "near-same")
+    known = storage.written(sound.select("_row", "doc_id", "n_shingles", "digest").join(same, "digest").drop("digest"), "near-known")
+    nodes = sound.select(F.col("_row").alias("node"), "place", "digest", "n_shingles", "keys", "signature").join(same.select("node"), "node")
+    nodes = storage.written(nodes.withColumn("keys", F.array_distinct("keys")), "near-nodes")  # as many as bands but for one chance in 2**50
+
+    buckets = nodes.select(F.explode("keys").alias("key"), "node", "n_shingles")
+    shared = storage.written(buckets.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "near-shared")
+    members = storage.written(membership.likely(buckets, "key", membership.bitmap(shared, "key")).join(shared, "key"), "near-members")
+    nodes = storage.written(membership.likely(nodes, "node", membership.bitmap(members, "node")), "near-candidates")
+    company = members.groupBy("node").agg(F.sum("n").alias("company"))
     hubs = members.join(company, "node").groupBy("key").agg(F.max_by("node", F.struct("company", -F.col("node"))).alias("hub"))
+    hubs = storage.written(hubs, "near-hubs")
     spokes = members.join(hubs, "key").filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    spokes = storage.written(spokes, "near-spokes")
-
-    texts = texts_of.select(F.col("_node").alias("node"), F.col("_text").alias("text"))
-    links = _verified(_agreeing(spokes, nodes, p), texts, p)
-    # one id may have rows with different sets: their nodes are one document
-    held = taking_part.select("_node", "digest").join(same, "digest").select("_node", "node").distinct()
-    several = held.groupBy("_node").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").select("_node", "a")
-    pooled = storage.written(held.join(several, "_node").select("a", F.col("node").alias("b")).filter("a <> b"), "near-pooled")
-    first = components(links.unionByName(pooled))
-    more = _left_over(members.select("key", "node"), first, nodes, texts, p)
-    final = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-
-    where = same.join(final, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    component = F.when(F.col("_node").isNotNull(), F.coalesce("component", "_node"))
-    return rows.select("_row", "doc_id", "_node", "n_shingles", "digest").join(where, "digest", "left").select("_row", "doc_id", "n_shingles", component.alias("component_id"))
+    links = _verified(_agreeing(storage.written(spokes, "near-spokes"), nodes, p), nodes, texts, p)
+    if pool:
+        held = storage.written(known.select("doc_id", "node").distinct(), "near-held")
+        several = held.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").select("doc_id", "a")
+        links = links.unionByName(held.join(storage.written(several, "near-several"), "doc_id").select("a", F.col("node").alias("b")).filter("a <> b"))
+    first = stars(links)
+    more = _left_over(members.select("key", "node", "n_shingles"), first, nodes, texts, p)
+    final = stars(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    return storage.written(known.join(final, "node", "left").select("_row", "doc_id", "n_shingles", F.coalesce("component", "node").alias("component")), "near-linked")
 
 
 def _sketched(df: DataFrame, text: str, p: NearParameters, keep: list[str]) -> DataFrame:
-    """The ``keep`` columns of each row with its sketch and _row, a number that stays."""
-    sketches = map_texts(df, text, _SKETCH, lambda: sketcher(p), keep).withColumn("_row", F.monotonically_increasing_id())
-    return storage.written(sketches, "near-sketches")
+    """The ``keep`` columns of each row with its sketch."""
+    return storage.written(map_texts(df, text, _SKETCH, lambda: sketcher(p), keep), "near-sketches")
 
 
 def near_duplicates(df: DataFrame, parameters: NearParameters = NearParameters(), text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row."""
+    place = storage.mark()
     named = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("_text"))
-    own = F.col("doc_id").alias("_node")
-    placed = _placed(_sketched(named, "_text", parameters, ["doc_id"]).select("*", own), named.select(own, "_text"), parameters)
-    return placed.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    rows = _sketched(named.withColumn("_row", F.monotonically_increasing_id()), "_text", parameters, ["doc_id", "_row"])
+    texts = named.select(F.col("doc_id").alias("place"), F.col("_text").alias("text"))
+    linked = _linked(rows.filter("doc_id is not null").withColumn("place", F.col("doc_id")), texts, parameters, pool=True)
+    least = storage.written(linked.groupBy("component").agg(F.min("doc_id").alias("component_id")), "near-least")
+    alone = rows.filter("digest is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    found = linked.join(least, "component").select("doc_id", "n_shingles", "component_id").unionByName(alone)
+    return storage.tidy(found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), place)
 
 
 def deduplicate(docs: DataFrame, parameters: NearParameters, text: str = "text") -> DataFrame:
     """``docs`` with one row of each component: of its smallest id, null after all others, and of rows that
     repeat that id the first. Links are between rows, so different texts under one id are told apart."""
+    place = storage.mark()
     columns = docs.columns
     own = [f"_d{i}" for i in range(len(columns))]
     of = own[columns.index(text)]
     named = docs.toDF(*own).withColumn(of, F.col(of).cast("string")).withColumn("doc_id", F.col(own[columns.index("doc_id")]).cast("long"))
-    rows = _sketched(named, of, parameters, [*own, "doc_id"])
-    rows = rows.withColumn("_node", F.col("_row"))
-    placed = storage.written(_placed(rows, rows.select("_node", F.col(of).alias("_text")), parameters), "near-placed")
+    rows = storage.written(named.withColumn("_row", F.monotonically_increasing_id()), "near-rows")  # a number that stays
+    rows = rows.withColumn("place", F.col("_row"))
+    linked = _linked(_sketched(rows, of, parameters, ["doc_id", "_row", "place"]), rows.select("place", F.col(of).alias("text")), parameters, pool=False)
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
-    several = placed.groupBy("component_id").agg(F.count("*").alias("_n"), least.alias("_least")).filter("_n > 1")
-    # written on its own, so that the join below can be split
-    first = storage.written(several.select("component_id", F.col("_least._row").alias("_first")), "near-first")
-    gone = placed.join(first, "component_id").filter("_row <> _first").select("_row")
+    several = linked.groupBy("component").agg(F.count("*").alias("_n"), least.alias("_least")).filter("_n > 1")
+    first = storage.written(several.select("component", F.col("_least._row").alias("_first")), "near-first")
+    gone = linked.join(first, "component").filter("_row <> _first").select("_row")
     gone = storage.written(gone, "near-gone")  # its size is known when the join is planned
-    return rows.join(gone, "_row", "left_anti").select(*own).toDF(*columns)
+    return storage.tidy(rows.join(gone, "_row", "left_anti").select(*own).toDF(*columns), place)

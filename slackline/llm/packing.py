@@ -7,17 +7,20 @@ lengths, with the longest one left in it, whose sum comes closest to the capacit
 traces back how many of each length it took. The same multiset fills as many windows
 as the histogram allows, so the plan has few entries for any number of documents.
 
-Cost: texts are tokenised once; only narrow rows of pieces are stored and shuffled.
-Pieces of one length are numbered in chunks of about CHUNK rows, so a length that a
-third of all documents have is spread like any other. The driver holds the histogram
-(at most ``window`` rows) and the plan, both bounded by the window alone.
+Lengths in windows that this leaves far from full (a length that very many documents share,
+or the rest of any table) are cut at powers of two and planned once more. Texts aren't
+tokenised again for that: a piece carries a checksum of each BLOCK of its ids, and checksums
+of neighbouring blocks combine to that of a part.
 
-Where whole pieces would leave more than MOST_PADDING of all ids as padding (a length that
-very many documents share, or a small table), the lengths in windows with much slack are cut
-at powers of two and planned anew; that needs a second pass over the texts.
+Cost: texts are tokenised once; narrow rows of pieces are stored and shuffled (with the ids,
+if they are asked for). Pieces of one length are numbered in as many chunks as a chunk has rows, so a
+length that a third of all documents have is spread like any other, and no task sees more than
+the root of its rows. The driver holds the histogram (at most ``window`` rows) and the plan, both
+bounded by the window alone.
 
 Defined results: null and empty texts are the end token alone; null ids stay null; rows
-that repeat an id are packed a row each; an empty table gives an empty result.
+that repeat an id are packed a row each; other columns, whatever their names, aren't read; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,17 +41,17 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from slackline.llm import storage
-from slackline.llm.frames import slices
+from slackline.llm.frames import release, slices
 from slackline.llm.wordbpe import END, LONGEST_KEY, chunks
 
 WINDOW = 4096
 END_ID = 2
-#: Padding, as a share of all ids, from which on pieces are cut; and the shortest part that is cut off.
-MOST_PADDING, SHORTEST_CUT = 0.01, 64
-#: Rows of one length that are numbered together.
-CHUNK = 200
-#: Chunks of text in a generation of those whose ids a worker remembers, each about 200 bytes.
-MEMORY = 400_000
+#: Ids of a block, which has a checksum of its own; the shortest part that is cut off.
+BLOCK = 64
+#: A window that is short of its size by more than this share is far from full.
+SLACK = 1 / 64
+#: Chunks of text in a generation of those whose ids a worker remembers, each about 200 bytes: 80 MB in all.
+MEMORY = 200_000
 #: Characters of texts whose unknown words are asked of the library at once.
 TOGETHER = 200_000
 #: Punctuation that ends words.
@@ -165,19 +168,33 @@ def encoder(path: str) -> Encoder:
 
 
 def binary_parts(length: int) -> list[int]:
-    """Powers of two from the largest in the length down to SHORTEST_CUT, and what is left."""
+    """Powers of two from the largest in the length down to BLOCK, and what is left."""
     parts = []
-    while length >= SHORTEST_CUT:
+    while length >= BLOCK:
         parts.append(1 << length.bit_length() - 1)
         length -= parts[-1]
     return parts + [length] * (length > 0)
 
 
-def cut_pieces(df: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False, cut: frozenset[int] = frozenset()) -> DataFrame:
-    """doc_id, start, length, ids_crc32 and doc_tokens of every piece, and its ids if asked for. Pieces whose length is in ``cut`` are cut into binary_parts()."""
+def block_sums(data: bytes) -> list[int]:
+    """The checksum of each BLOCK ids of four bytes, the last ones perhaps fewer."""
+    return [zlib.crc32(data[i : i + 4 * BLOCK]) for i in range(0, len(data), 4 * BLOCK)]
+
+
+def combined(sums: list[int], ids: int) -> int:
+    """The checksum of so many ids, given those of their blocks."""
+    total = 0
+    for k, s in enumerate(sums):
+        zeros = bytes(4 * min(BLOCK, ids - k * BLOCK))
+        total = zlib.crc32(zeros, total) ^ zlib.crc32(zeros) ^ s  # the sum so far, moved past the block, and the block's own
+    return total
+
+
+def cut_pieces(df: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens and blocks (see block_sums) of every piece, and its ids if asked for."""
     fields = [T.StructField("doc_id", df.schema["doc_id"].dataType)]
-    fields += [T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens")]
-    schema = T.StructType(fields + [T.StructField("ids", T.ArrayType(T.LongType()))] * with_ids)
+    fields += [T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens")] + [T.StructField("blocks", T.ArrayType(T.LongType()))]
+    schema = T.StructType(fields + [T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids)
     arrow = to_arrow_schema(schema)
     end = np.array([end_id], "<u4").tobytes()
 
@@ -185,17 +202,20 @@ def cut_pieces(df: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int
         encode = encoder(tokenizer).encode
         for whole in batches:
             for batch in slices(whole, "text"):
-                rows = []
+                rows, held = [], []
                 ids = (data for group in _groups(batch.column(1).to_pylist()) for data in encode(group))
                 for doc_id, data in zip(batch.column(0).to_pylist(), ids, strict=True):
                     data += end
-                    whole, rest = divmod(len(data) // 4, window)
-                    at = 0
-                    for length in [window] * whole + (binary_parts(rest) if rest in cut else [rest] * (rest > 0)):
-                        piece = data[at : at + 4 * length]
-                        rows.append((doc_id, at // 4, len(piece) // 4, zlib.crc32(piece), len(data) // 4, np.frombuffer(piece, "<u4").tolist() if with_ids else None))
-                        at += 4 * length
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], arrow.field(i).type) for i in range(len(arrow))], schema=arrow)
+                    for at in range(0, len(data), 4 * window):
+                        piece = data[at : at + 4 * window]
+                        rows.append((doc_id, at // 4, len(piece) // 4, zlib.crc32(piece), len(data) // 4, block_sums(piece) if len(piece) < 4 * window else []))
+                        held += [piece] * with_ids
+                columns = [pa.array([r[i] for r in rows], arrow.field(i).type) for i in range(6)]
+                if with_ids:
+                    ends = np.cumsum([0, *(len(p) // 4 for p in held)], dtype=np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(held), "<i4"))).cast(arrow.field(6).type))
+                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+        release()
 
     return df.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
@@ -239,6 +259,7 @@ class Plan:
     offset: np.ndarray
     padding: int
     slack: frozenset[int]
+    histogram: dict[int, int]
 
     def place(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sequence and offset of pieces, given their length and their rank among pieces of that length."""
@@ -269,37 +290,79 @@ def plan_windows(histogram: dict[int, int], window: int = WINDOW) -> Plan:
         sequence += times
         if offset & (offset - 1):  # a power of two needs no padding
             padding += (window - offset) * times
-            slack.update(taken if window - offset > window // 64 else ())
+            slack.update(taken if window - offset > SLACK * window else ())
     rows.sort()
-    return Plan(*(np.array(c, np.int64) for c in (zip(*rows, strict=True) if rows else [[]] * 5)), padding, frozenset(slack))
+    return Plan(*(np.array(c, np.int64) for c in (zip(*rows, strict=True) if rows else [[]] * 5)), padding, frozenset(slack), used)
 
 
-def ranked(pieces: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """The pieces with rank, from 0, among those of the same length; equal rows may change places."""
-    per_length = pieces.groupBy("length").agg(F.ceil(F.count("*") / chunk).alias("_chunks"))
-    spread = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.rand(seed=17)), F.col("_chunks"))
-    dealt = storage.written(pieces.join(F.broadcast(per_length), "length").withColumn("_chunk", spread).drop("_chunks"), "pack-dealt")  # at most ``window`` lengths
-    counted = dealt.groupBy("length", "_chunk").agg(F.count("*").alias("_n"))
-    upto = Window.partitionBy("length").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    before = counted.select("length", "_chunk", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("length", "_chunk").orderBy("doc_id", "start", "ids_crc32", "doc_tokens"))
-    return dealt.withColumn("_row", within).join(before, ["length", "_chunk"]).withColumn("rank", F.col("_before") + F.col("_row") - 1).drop("_chunk", "_row", "_before")
+def cut_histogram(histogram: dict[int, int], cut: frozenset[int]) -> dict[int, int]:
+    """The lengths there are when those in ``cut`` are cut into binary_parts()."""
+    found: dict[int, int] = {}
+    for length, n in histogram.items():
+        for part in binary_parts(length) if length in cut else [length]:
+            found[part] = found.get(part, 0) + n
+    return found
+
+
+def best_plan(histogram: dict[int, int], window: int = WINDOW) -> tuple[Plan, frozenset[int]]:
+    """The plan, and the lengths that are cut for it: of full windows none."""
+    cut = plan_windows(histogram, window).slack - {window}
+    return plan_windows(cut_histogram(histogram, cut), window), cut
 
 
-def _planned(pieces: DataFrame, window: int) -> tuple[DataFrame, Plan]:
-    pieces = storage.written(pieces, "pack-pieces")
-    counts = pieces.groupBy("length").count().collect()  # at most ``window`` rows
-    return pieces, plan_windows({r["length"]: r["count"] for r in counts}, window)
+def _parts(row: dict) -> list[dict]:
+    """A piece, cut into binary_parts()."""
+    found, at = [], 0
+    for length in binary_parts(row["length"]):
+        own = row["blocks"][at // BLOCK : -(-(at + length) // BLOCK)]
+        part = row | {"start": row["start"] + at, "length": length, "ids_crc32": combined(own, length)}
+        found.append(part | {"ids": row["ids"][at : at + length]} if "ids" in row else part)
+        at += length
+    return found
+
+
+def dealt(pieces: DataFrame, cut: frozenset[int], chunks: dict[int, int]) -> DataFrame:
+    """Stored pieces (with their number _piece), those of lengths in ``cut`` in parts, and the chunk of its length that each is in."""
+    schema = T.StructType([f for f in pieces.schema if f.name != "blocks"] + [T.StructField("_chunk", T.LongType())])
+    arrow = to_arrow_schema(schema)
+    number = np.zeros(max(chunks, default=0) + 1, np.uint64)
+    number[list(chunks)] = list(chunks.values())
+
+    def run(batches):
+        for batch in batches:
+            length = batch.column(batch.schema.get_field_index("length")).to_numpy(zero_copy_only=False)
+            whole = ~np.isin(length, list(cut))
+            tables = [batch.filter(pa.array(whole)).select(schema.names[:-1])]
+            if not whole.all():
+                parts = [x for row in batch.filter(pa.array(~whole)).to_pylist() for x in _parts(row)]
+                tables.append(pa.RecordBatch.from_arrays([pa.array([x[f.name] for x in parts], f.type) for f in list(arrow)[:-1]], schema=pa.schema(list(arrow)[:-1])))
+            for table in tables:
+                piece, start, length = (table.column(table.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.uint64) for c in ("_piece", "start", "length"))
+                mixed = (piece * np.uint64(0x9E3779B97F4A7C15) ^ start) * np.uint64(0xBF58476D1CE4E5B9)
+                chunk = (mixed >> np.uint64(33)) % number[length] if len(length) else length
+                yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(table.columns, arrow, strict=False)), pa.array(chunk.astype(np.int64))], schema=arrow)
+
+    return pieces.mapInArrow(run, schema)
+
+
+def ranked(pieces: DataFrame) -> DataFrame:
+    """The rows of dealt() with rank, from 0, among those of the same length."""
+    counted = pieces.groupBy("length", "_chunk").agg(F.count("*").alias("_n"))
+    upto = Window.partitionBy("length").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = counted.select("length", "_chunk", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("length", "_chunk").orderBy("_piece", "start"))
+    return pieces.withColumn("_row", within).join(before, ["length", "_chunk"]).withColumn("rank", F.col("_before") + F.col("_row") - 1).drop("_chunk", "_row", "_before", "_piece")
 
 
 def pack_documents(df: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """The pieces of all documents with sequence_id and offset. tokenizer: path of the vocabulary file."""
-    pieces, plan = _planned(cut_pieces(df, tokenizer, window, end_id, with_ids), window)
-    if plan.padding > MOST_PADDING * pieces.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]:
-        pieces, plan = _planned(cut_pieces(df, tokenizer, window, end_id, with_ids, plan.slack), window)
-    columns = pieces.columns
-    schema = T.StructType([*pieces.schema, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return ranked(pieces).select(*columns, "rank").mapInArrow(_placer(plan, schema), schema)
+    """The pieces of all documents with sequence_id and offset, and their ids if asked for. tokenizer: path of the vocabulary file."""
+    place = storage.mark()
+    pieces = storage.written(cut_pieces(df, tokenizer, window, end_id, with_ids).withColumn("_piece", F.monotonically_increasing_id()), "pack-pieces")
+    plan, cut = best_plan({r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}, window)  # at most ``window`` rows
+    chunks = {length: -int(-(n**0.5) // 1) for length, n in plan.histogram.items()}
+    names = [c for c in pieces.columns if c not in ("blocks", "_piece")]
+    schema = T.StructType([*(pieces.schema[c] for c in names), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    return storage.tidy(ranked(dealt(pieces, cut, chunks)).select(*names, "rank").mapInArrow(_placer(plan, schema), schema), place)
 
 
 def _placer(plan: Plan, schema: T.StructType) -> Callable:

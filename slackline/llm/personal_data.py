@@ -170,6 +170,7 @@ def discover(found: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
 
 def personal_spans(df: DataFrame, text: str = "text", carry: Iterable[str] = ("doc_id",)) -> DataFrame:
     """The ``carry`` columns with base and added, two arrays of (kind, start, end) by kind and start."""
+    place = storage.mark()
     carry = list(carry)
     named, own, of = internal(df, text, carry)
     fields = [T.StructField("_mentions", T.ArrayType(_MENTION))]
@@ -182,7 +183,8 @@ def personal_spans(df: DataFrame, text: str = "text", carry: Iterable[str] = ("d
     base = F.transform(F.filter("_mentions", lambda m: m["kind"].isNotNull()), lambda m: F.struct(m["kind"].alias("kind"), m["start"].alias("start"), m["end"].alias("end")))
     joined = rows.join(added, F.col("_row") == F.col("_of"), "left")
     none = F.array().cast("array<struct<kind:bigint,start:bigint,end:bigint>>")
-    return joined.select(*[F.col(o).alias(c) for c, o in zip(carry, own, strict=True)], F.sort_array(base).alias("base"), F.coalesce("_added", none).alias("added"))
+    spans = joined.select(*[F.col(o).alias(c) for c, o in zip(carry, own, strict=True)], F.sort_array(base).alias("base"), F.coalesce("_added", none).alias("added"))
+    return storage.tidy(spans, place)
 
 
 def _joined(spans) -> Column:

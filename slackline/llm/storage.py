@@ -10,8 +10,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import suppress
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
 _local: dict[str, str] = {}
@@ -41,10 +43,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return it read again."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def measured(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict]:
+    """As written(), with aggregates over the rows that are taken while they are written."""
+    seen = Observation()
+    table = written(df.observe(seen, *[m.alias(k) for k, m in measures.items()]), name)
+    return table, seen.get
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Remove one path, on whatever file system holds it."""
     jvm = spark.sparkContext._jvm
@@ -53,23 +62,41 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def mark() -> int:
-    """A place in the list of tables, for since()."""
+    """A place in the list of tables, for tidy()."""
     return len(_written)
 
 
-def since(place: int) -> list[str]:
-    """Paths of the tables made after mark() gave the place."""
-    return [path for _, path in _written[place:]]
+def paths_read(df: DataFrame) -> list[str]:
+    """The folders that a plan reads, by its leaves; no files are listed."""
+    leaves, found = df._jdf.queryExecution().analyzed().collectLeaves(), []
+    for k in range(leaves.size()):
+        relation = getattr(leaves.apply(k), "relation", None)
+        with suppress(Py4JError):  # leaves without files
+            found += relation().location().rootPaths().mkString("\n").split("\n") if relation else []
+    return found
+
 
+def tidy(result: DataFrame, place: int) -> DataFrame:
+    """The result, after the tables that were written since mark() gave the place and that it isn't read from are removed.
 
-def forget(spark: SparkSession, paths: list[str], needed: DataFrame) -> None:
-    """Remove tables whose reader has been written elsewhere, but none that ``needed`` is still read from."""
-    in_use = needed.inputFiles() if paths else []
+    The tables that it is read from stay as long as the driver: only its caller knows when it has been used."""
     plain = lambda p: p.split(":", 1)[-1].lstrip("/")  # noqa: E731  file:/a and file:///a are the same place
+    in_use = {plain(p) for p in paths_read(result)}
+    spark = result.sparkSession
+    forget(spark, [path for _, path in _written[place:] if plain(path) not in in_use])
+    return result
+
+
+def forget(spark: SparkSession, paths: list[str]) -> None:
+    """Remove tables that nothing reads any more."""
     for path in paths:
-        if not any(plain(f).startswith(plain(path)) for f in in_use):
-            delete(spark, path)
-            _written[:] = [x for x in _written if x[1] != path]
+        delete(spark, path)
+    _written[:] = [x for x in _written if x[1] not in set(paths)]
+
+
+def since(place: int) -> list[str]:
+    """Paths of the tables made after mark() gave the place."""
+    return [path for _, path in _written[place:]]
 
 
 @atexit.register

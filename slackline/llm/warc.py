@@ -7,13 +7,15 @@ protocol, on any store that Spark writes: a record a row, with the two line ends
 that close a record as separator, gzip-compressed. They are read back a file at a
 time, by content length, and revisits are joined to their responses.
 
-Cost: payloads are shuffled once, to their group; a hot payload's rows are a skewed
-join, which Spark splits, and its response is chosen by a pre-aggregated maximum.
+Cost: payloads are shuffled once, to their group. A payload's response is chosen by a
+pre-aggregated maximum, which is written before it is joined, so that Spark can split the
+join where very many rows have one payload.
 A file holds MAX_RECORDS at most, which bounds what a reading task holds.
 
 Defined results: a null page is an empty payload; a null url is written as
 about:blank; line ends in a url become spaces; rows that repeat both the largest id and
-the payload are all responses; a null id is below every other, a revisit if its payload
+the payload are all responses; rows that share an id and not the payload are records of
+their own, each with its own digest and size; a null id is below every other, a revisit if its payload
 has a row with an id and a response otherwise; an empty table gives an empty result.
 """
 
@@ -43,8 +45,9 @@ def base32_sha1(data: Column) -> Column:
     return F.translate(F.upper(F.concat(*parts)), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def _record_id(page_id: Column) -> Column:
-    h = F.md5(F.concat(F.lit("page:"), F.coalesce(page_id.cast("string"), F.lit("null"))))
+def _record_id(page_id: Column, digest: Column) -> Column:
+    """Of a page and a payload, since one page may have several."""
+    h = F.md5(F.concat(F.lit("page:"), F.coalesce(page_id.cast("string"), F.lit("null")), F.lit(":"), digest))
     return F.concat(F.lit("<urn:uuid:"), F.regexp_replace(h, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.lit(">"))
 
 
@@ -54,7 +57,8 @@ def resolve_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     heads = pages.select("page_id", F.col("url").cast("string").alias("url"), payload.alias("payload"))
     heads = heads.select("*", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.encode("payload", "UTF-8")).alias("payload_digest"))
     first = heads.groupBy("payload_digest").agg(F.max("page_id").alias("_first"), F.max_by("url", "page_id").alias("_url"))
-    joined = heads.join(first, "payload_digest")
+    # a table of its own: above an aggregation in the same plan a hot payload's join can't be split
+    joined = heads.join(storage.written(first, "warc-first"), "payload_digest")
     own = (F.col("payload_bytes") < min_bytes) | F.col("_first").isNull() | F.col("page_id").eqNullSafe(F.col("_first"))
     return joined.select(
         "page_id", "url", F.when(own, F.col("payload")).alias("payload"), "payload_bytes", "payload_digest",
@@ -70,10 +74,10 @@ def write_archives(resolved: DataFrame, path: str, date: str = "2024-01-01T00:00
     block = F.concat(http, F.when(response, F.col("payload")).otherwise(F.lit("")))
     lines = F.concat_ws(
         "\r\n",
-        F.lit("WARC/1.1"), F.concat(F.lit("WARC-Type: "), F.col("record_type")), F.concat(F.lit("WARC-Record-ID: "), _record_id(F.col("page_id"))),
+        F.lit("WARC/1.1"), F.concat(F.lit("WARC-Type: "), F.col("record_type")), F.concat(F.lit("WARC-Record-ID: "), _record_id(F.col("page_id"), F.col("payload_digest"))),
         F.lit(f"WARC-Date: {date}"), F.concat(F.lit("WARC-Target-URI: "), uri("url")),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("payload_digest")),
-        F.when(~response, F.concat(F.lit("WARC-Refers-To: "), _record_id(F.col("refers_to")))),
+        F.when(~response, F.concat(F.lit("WARC-Refers-To: "), _record_id(F.col("refers_to"), F.col("payload_digest")))),
         F.when(~response, F.concat(F.lit("WARC-Refers-To-Target-URI: "), uri("refers_to_url"))),
         F.when(~response, F.lit(f"WARC-Profile: {PROFILE}")),
         F.concat(F.lit("X-Page-ID: "), F.coalesce(F.col("page_id").cast("string"), F.lit(""))),
@@ -162,7 +166,7 @@ def _batch(rows: list[tuple], schema) -> pa.RecordBatch:
 def join_revisits(records: DataFrame) -> DataFrame:
     """Each record with the payload's size and digest, which revisits take from the response they refer to."""
     originals = records.filter("record_type = 'response'").groupBy(F.col("record_id").alias("_id"))
-    originals = originals.agg(F.max("page_id").alias("_page"), F.max("payload_bytes").alias("_bytes"), F.max("payload_digest").alias("_digest"))
+    originals = originals.agg(F.max("page_id").alias("_page"), F.max("payload_bytes").alias("_bytes"), F.max("payload_digest").alias("_digest"))  # all rows of one record id are equal
     # a table of its own, so that the join can be split where very many revisits refer to one response;
     # responses, which refer to nothing, are dealt by their own id
     originals = storage.written(originals, "warc-originals")
@@ -174,9 +178,10 @@ def join_revisits(records: DataFrame) -> DataFrame:
 def archive_round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Write deduplicated archives of the pages, read them and return what they say of each page."""
     spark = pages.sparkSession
+    place = storage.mark()
     path = storage.new_path(spark, "warc")
     write_archives(resolve_revisits(pages, min_bytes), path)
-    return join_revisits(storage.written(read_archives(spark, path, payloads=False), "warc-records"))
+    return storage.tidy(join_revisits(storage.written(read_archives(spark, path, payloads=False), "warc-records")), place)
 
 
 ORACLE = """

@@ -21,8 +21,8 @@ import regex
 
 END = "</w>"
 _FOREVER = 1 << 60
-#: Chunks, pieces and pairs remembered by a worker at most, each about 200 bytes; then it starts anew.
-MEMORY = 500_000
+#: Chunks, pieces and pairs remembered by a worker at most, each about 200 bytes: 120 MB in all; then it starts anew.
+MEMORY = 200_000
 #: Longest chunk that is remembered, in characters.
 LONGEST_KEY = 40
 #: Separators that every library treats as white space; others stay inside a chunk.

@@ -255,12 +255,36 @@ def test_hot_length_leaves_little_padding(spark):
 
 
 def test_hot_length_is_numbered_in_chunks(spark):
-    pieces = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("start"), F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 50 + 1).cast("long").alias("length"), F.col("id").alias("ids_crc32"), F.lit(9).cast("long").alias("doc_tokens"))
-    rows = packing.ranked(pieces, chunk=50).collect()
+    pieces = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("start"), F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 50 + 1).cast("long").alias("length"), F.col("id").alias("ids_crc32"), F.lit(9).cast("long").alias("doc_tokens"), F.array(F.col("id")).alias("blocks"), F.col("id").alias("_piece"))
+    chunks = {k: 50 for k in range(1, 51)}
+    dealt = packing.dealt(pieces, frozenset(), chunks)
+    hot = [r["count"] for r in dealt.filter("length = 7").groupBy("_chunk").count().collect()]
+    assert len(hot) == 50 and max(hot) < 80
     by = defaultdict(list)
-    for r in rows:
+    for r in packing.ranked(dealt).collect():
         by[r["length"]].append(r["rank"])
-    assert all(sorted(v) == list(range(len(v))) for v in by.values()) and len(rows) == 5000
+    assert all(sorted(v) == list(range(len(v))) for v in by.values()) and sum(map(len, by.values())) == 5000
+
+
+@pytest.mark.parametrize("size", [1, 63, 64, 65, 127, 128, 2400, 4095])
+def test_parts_have_the_checksums_of_their_ids(size):
+    ids = np.random.default_rng(size).integers(0, 49_000, size).astype("<u4")
+    row = {"start": 4096, "length": size, "ids_crc32": zlib.crc32(ids.tobytes()), "blocks": packing.block_sums(ids.tobytes()), "ids": ids.tolist()}
+    assert packing.combined(row["blocks"], size) == row["ids_crc32"]
+    parts = packing._parts(row)
+    assert sum((p["ids"] for p in parts), []) == ids.tolist() and [p["length"] for p in parts] == packing.binary_parts(size)
+    for p in parts:
+        assert p["ids_crc32"] == zlib.crc32(np.array(p["ids"], "<u4").tobytes()) and p["ids"] == ids.tolist()[p["start"] - 4096 :][: p["length"]]
+
+
+def test_packed_ids_are_the_documents(spark):
+    rows = [(i, "word " * (2400 if i % 3 else 30 + i % 9)) for i in range(40)] + [(99, None), (None, "x")]
+    out = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), vocabulary(), with_ids=True).collect()
+    for doc_id, text in rows:
+        own = sorted((r for r in out if r["doc_id"] == doc_id), key=lambda r: r["start"])
+        ids = [i for r in own for i in r["ids"]]
+        assert ids[-1] == 2 and len(ids) == own[0]["doc_tokens"] == len((text or "").split()) + 1
+        assert all(r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes()) and len(r["ids"]) == r["length"] for r in own)
 
 
 def test_pipeline_stage_by_stage(spark):

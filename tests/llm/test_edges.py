@@ -1,5 +1,6 @@
 """Every operator on nasty, empty and tiny tables."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,6 +73,17 @@ def test_warc_edges(spark):
     assert warc.archive_round_trip(pages.limit(0)).collect() == []
 
 
+def test_warc_pages_with_several_payloads(spark):
+    rows = [(1, "u", "a"), (1, "u", "bbb"), (0, "u", "a"), (-1, "u", "bbb"), (1, "u", "a"), (7, "u", ""), (7, "u", None), (None, "u", "a")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    con = duckdb.connect()
+    con.register("pages", pages.toPandas().astype({"page_id": "Int64"}))
+    want = sorted(con.execute(warc.ORACLE).fetchall(), key=repr)
+    got = warc.archive_round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+    assert sorted(map(tuple, got), key=repr) == want
+    assert {(r["page_id"], r["payload_bytes"]) for r in got if r["page_id"] in (0, -1)} == {(0, 1), (-1, 3)}
+
+
 def test_search_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, [0.5, 0.5, 0.5]), (None, [1.0, 1.0]), (20, [-1.0, 2.0]), (9, []), (10, [3.0, 1.0])]
