@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
 #: Bytes of rows that go to Python at a time. Spark's own limit of 64 MB, held on both sides by every core, is much of a small executor.
-BATCH_BYTES, SPARKS_BATCH_BYTES = 16 << 20, 64 << 20
+BATCH_BYTES, SPARKS_BATCH_BYTES = 4 << 20, 64 << 20
 _shipped: set[str] = set()
 
 
