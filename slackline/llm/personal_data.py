@@ -10,24 +10,27 @@ addresses) are added where patterns of high confidence surround them.
 Cost: one pass over the texts, which leaves a row a document with its few mentions; the
 graph has a row for each different pattern and value and is aggregated with partial sums,
 so a value or word that a third of all documents have is one row a task. Nothing is
-collected and nothing but what Spark's own size check admits is broadcast.
+collected and nothing but what Spark's own size check admits is broadcast. Only texts with spans
+go to Python a second time, to be masked. Every step is linear in a text's length but for sorting its spans.
 
 Defined results: null and empty texts have no spans; null ids stay null; rows that repeat
-are a row each; added spans never overlap base spans; an empty table gives an empty
-result. Every expression is linear in the text's length.
+are a row each; added spans never overlap base spans; columns other than the named ones aren't read,
+and redact() returns them as they were, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slackline.llm import storage
-from slackline.llm.frames import internal, map_texts
+from slackline.llm.frames import internal, map_texts, parts, release
 
 KINDS = ("email", "ip", "card", "phone")
 #: Rounds of scoring after which it is an error that scores still change.
@@ -43,7 +46,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_NUMBER = re.compile(r"(?<![0-9A-Za-z.@+])\(?[0-9][0-9(). -]{5,28}[0-9](?![0-9A-Za-z@])")
+_RUN = re.compile(r"[0-9][0-9(). -]*")
+_SEPARATORS = "(). -"
 _SPELLED = re.compile(r"( at |\(at\)|\[at\]| \(at\) | \[at\] )[A-Za-z0-9-]+(?:(?:\.| dot |\(dot\)|\[dot\])[A-Za-z0-9-]+)+")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -96,35 +100,77 @@ def base_spans(text: str | None) -> list[tuple[int, int, int]]:
     return spans
 
 
+def numbers(text: str) -> Iterator[tuple[int, int]]:
+    """Runs of digits and their usual separators, with a bracket before them, that no letter or mark of an address touches."""
+    for m in _RUN.finditer(text):
+        run, start = m[0], m.start()
+        if m.end() < len(text) and (text[m.end()] == "@" or "A" <= text[m.end()] <= "Z" or "a" <= text[m.end()] <= "z"):
+            run = run.rstrip("0123456789")  # the last number belongs to a word
+        run = run.rstrip(_SEPARATORS)
+        end = start + len(run)
+        before = text[start - 1 : start]
+        if before == "(" and not _touches(text[start - 2 : start - 1]):
+            start -= 1
+        elif _touches(before):
+            continue
+        if run:
+            yield start, end
+
+
+def _touches(c: str) -> bool:
+    return bool(c) and (c in ".@+" or "A" <= c <= "Z" or "a" <= c <= "z")
+
+
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, list[int]]]:
     """(start, end, kinds it may be) of what looks like an identifier outside the spans taken."""
     found = []
-    for m in _NUMBER.finditer(text):
-        digits = len(_DIGIT.findall(m[0]))
-        may = [k for k, fits in ((1, m[0].count(".") == 3 and " " not in m[0]), (2, 13 <= digits <= 19), (3, 7 <= digits <= 15)) if fits]
-        if may:
-            found.append((*m.span(), may))
+    for start, end in numbers(text):
+        run = text[start:end]
+        digits = len(_DIGIT.findall(run))
+        may = [k for k, fits in ((1, run.count(".") == 3 and " " not in run), (2, 13 <= digits <= 19), (3, 7 <= digits <= 15)) if fits]
+        if may and end - start > 6:
+            found.append((start, end, may))
     for m in _SPELLED.finditer(text):
         start = m.start()
         while start > 0 and text[start - 1] in _LOCAL:
             start -= 1
         if start < m.start():
             found.append((start, m.end(), [0]))
-    free, end = [], 0
+    blocked, k, free, end = merged((s, e) for _, s, e in taken), 0, [], 0
     for s, e, may in sorted(found, key=lambda x: x[:2]):
-        if s >= end and not any(s < stop and begin < e for _, begin, stop in taken):
+        while k < len(blocked) and blocked[k][1] <= s:
+            k += 1
+        if s >= end and (k == len(blocked) or blocked[k][0] >= e):
             free.append((s, e, may))
             end = e
     return free
 
 
-def patterns(text: str, start: int, end: int) -> list[str]:
-    """The lexical patterns of a place: one and two words to the left, one to the right, in lower case."""
-    left = [w.lower() for w in _WORD.findall(text, max(0, start - 48), start)][-2:]
-    right = _WORD.search(text, end, end + 24)
-    found = ["L1 " + left[-1]] if left else []
-    found += ["L2 " + " ".join(left)] if len(left) == 2 else []
-    return found + (["R1 " + right[0].lower()] if right else [])
+def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, overlapping ones joined."""
+    found: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if found and s < found[-1][1]:
+            found[-1] = found[-1][0], max(e, found[-1][1])
+        else:
+            found.append((s, e))
+    return found
+
+
+class Context:
+    """The words of a text, for the lexical patterns of places in it."""
+
+    def __init__(self, text: str):
+        self.text, spans = text, [m.span() for m in _WORD.finditer(text)]
+        self.starts, self.ends = [s for s, _ in spans], [e for _, e in spans]
+
+    def patterns(self, start: int, end: int) -> list[str]:
+        """One and two words to the left, one to the right, in lower case."""
+        k, r = bisect_left(self.starts, start), bisect_right(self.ends, end)
+        left = [self.text[self.starts[i] : min(self.ends[i], start)].lower() for i in range(max(0, k - 2), k)]
+        found = ["L1 " + left[-1]] if left else []
+        found += ["L2 " + " ".join(left)] if len(left) == 2 else []
+        return found + (["R1 " + self.text[max(self.starts[r], end) : self.ends[r]].lower()] if r < len(self.ends) else [])
 
 
 _MENTION = T.StructType([
@@ -139,7 +185,10 @@ def mentions(text: str | None) -> tuple[list[dict]]:
         return ([],)
     taken = base_spans(text)
     rows = [(s, e, k, [k]) for k, s, e in taken] + [(s, e, None, may) for s, e, may in candidates(text, taken)]
-    return ([{"start": s, "end": e, "kind": k, "may": may, "value": "".join(text[s:e].lower().split()), "patterns": patterns(text, s, e)} for s, e, k, may in rows],)
+    if not rows:
+        return ([],)
+    context = Context(text)
+    return ([{"start": s, "end": e, "kind": k, "may": may, "value": "".join(text[s:e].lower().split()), "patterns": context.patterns(s, e)} for s, e, k, may in rows],)
 
 
 def discover(found: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
@@ -204,25 +253,37 @@ def span_digests(df: DataFrame) -> DataFrame:
     return spans.select("doc_id", *number, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(every).alias("spans"))
 
 
+def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
+    """The text with every span (start, end, kind) replaced; overlapping spans become one, named by the first."""
+    found, at = [], 0
+    for start, end, kind in sorted(spans):
+        if start >= at:
+            found += [text[at:start], f"<{KINDS[kind].upper()}>"]
+        at = max(at, end)
+    return "".join([*found, text[at:]])
+
+
+def _mask(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for texts, spans in columns:
+        made, at = [pa.array([], pa.string())], 0
+        for part in parts(texts):
+            rows = zip(part.to_pylist(), spans.slice(at, len(part)).to_pylist(), strict=True)
+            made.append(pa.array([None if t is None else masked(t, [(s["start"], s["end"], s["kind"]) for s in own]) for t, own in rows], pa.string()))
+            at += len(part)
+        yield pa.concat_arrays(made)
+    release()
+
+
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with every span replaced by its kind in angle brackets; overlapping spans become one, named by the first."""
+    """``docs`` with every span replaced by its kind in angle brackets; overlapping spans become one, named by the first.
+    A column n_chars becomes the new text's length."""
     columns = docs.columns
     unique = [f"_d{i}" for i in range(len(columns))]
     place = unique[columns.index(text)]
-    spans = personal_spans(docs.toDF(*unique), place, unique)
-    ordered = F.sort_array(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    start = F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at"))
-    whole = F.col(place)
-
-    def step(done, s):
-        mark = F.concat(F.lit("<"), F.upper(F.element_at(F.array(*[F.lit(k) for k in KINDS]), (s["kind"] + 1).cast("int"))), F.lit(">"))
-        gap = whole.substr((done["at"] + 1).cast("int"), (s["start"] - done["at"]).cast("int"))
-        fresh = F.struct(F.concat(done["text"], gap, mark).alias("text"), s["end"].alias("at"))
-        inside = F.struct(done["text"].alias("text"), F.greatest(done["at"], s["end"]).alias("at"))
-        return F.when(s["start"] >= done["at"], fresh).otherwise(inside)
-
-    rest = lambda done: F.concat(done["text"], whole.substr((done["at"] + 1).cast("int"), F.length(whole)))
-    clean = F.when((F.size("base") + F.size("added") > 0) & whole.isNotNull(), F.aggregate(ordered, start, step, rest)).otherwise(whole)
+    spans = personal_spans(docs.toDF(*unique), place, unique).withColumn("_spans", F.concat("base", "added"))
+    touched = F.size("_spans") > 0
+    spans = spans.withColumn("_masked", F.arrow_udf(_mask, T.StringType())(F.when(touched, F.col(place)), F.when(touched, F.col("_spans"))))
+    clean = F.coalesce("_masked", place)
     out = {c: (clean if c == text else F.col(u)).alias(c) for c, u in zip(columns, unique, strict=True)}
     if "n_chars" in out and text in out:
         out["n_chars"] = F.length(clean).cast("long").alias("n_chars")

@@ -179,6 +179,82 @@ def test_bootstrapping_finds_unseen_numbers(spark):
     assert out[13]["added"] == [] and all(len(out[i]["base"]) == 1 for i in range(12))
 
 
+def test_mentions_stay_linear():
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        began = time.perf_counter()
+        (found,) = personal_data.mentions("call 555 010 7777 or 10.2.3.4, " * n)
+        took.append(time.perf_counter() - began)
+        assert len(found) == 2 * n
+    assert took[1] < 10 * took[0]
+
+
+def test_long_numbers_and_far_words():
+    spaced = "1" + " " * 60 + "23456789"
+    assert personal_data.candidates(f"no {spaced} x", []) == [(3, 3 + len(spaced), [3])]
+    text = "phone" + " " * 500 + "555 010 77777" + "." * 200 + "now"
+    assert personal_data.Context(text).patterns(505, 518) == ["L1 phone", "R1 now"]
+    assert personal_data.candidates("id5550107777 +1x 5550107777x (5550107777)", [])[0][:2] == (29, 40)
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_masking_by_letter(seed):
+    rng = random.Random(seed)
+    for _ in range(200):
+        text = "".join(rng.choice("abc😀é ") for _ in range(rng.randint(0, 30)))
+        spans = []
+        for _ in range(rng.randint(0, 6)):
+            s = rng.randint(0, len(text))
+            spans.append((s, min(len(text), s + rng.randint(1, 6)), rng.randrange(4)))
+        spans = [x for x in spans if x[0] < x[1]]
+        covered = personal_data.merged((s, e) for s, e, _ in spans)
+        want, at = "", 0
+        for s, e in covered:
+            kind = min(x for x in spans if x[0] == s)[2]
+            want, at = want + text[at:s] + f"<{personal_data.KINDS[kind].upper()}>", e
+        assert personal_data.masked(text, spans) == want + text[at:]
+
+
+def plain_discovery(rows, rounds=50):
+    """The scores by dictionaries: a pattern's sureness, then each open value's, until nothing changes."""
+    links, opened = {(p, v) for v, _, _, ps in rows for p in ps}, {(p, v, k) for v, kind, may, ps in rows if kind is None for p in ps for k in may}
+    known = {(v, kind) for v, kind, _, _ in rows if kind is not None}
+    known_values = {v for v, _ in known}
+    size, score = Counter(p for p, _ in links), {x: 1.0 for x in known}
+    for _ in range(rounds):
+        sums = Counter()
+        for p, v in links:
+            for (value, kind), x in score.items():
+                if value == v:
+                    sums[p, kind] += x
+        doubt = {}
+        for p, v, k in opened:
+            if v not in known_values and sums[p, k] >= personal_data.LEAST_SUPPORT and sums[p, k] / size[p] >= personal_data.PATTERN_SURE:
+                doubt[v, k] = doubt.get((v, k), 1.0) * max(1 - sums[p, k] / size[p] * sums[p, k] / (sums[p, k] + 1), 1e-12)
+        score = {x: 1.0 for x in known} | {x: 1 - d for x, d in doubt.items()}
+    best = {}
+    for (v, k), x in score.items():
+        if v not in known_values and x >= personal_data.INSTANCE_SURE:
+            best[v] = max(best.get(v, (0, -9)), (x, -k))
+    return {(v, -k) for v, (_, k) in best.items()}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_discovery_against_dictionaries(spark, seed):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(120):
+        kind = rng.choice([0, 3, 3, None])
+        may = [kind] if kind is not None else rng.choice([[3], [2, 3], [0]])
+        word = rng.randrange(3) if kind is None or rng.random() < 0.9 else 9
+        rows.append((f"v{i if kind is None else rng.randrange(60)}-{kind}", kind, may, [f"L1 {word}{may[-1]}", f"L2 {word}{may[-1]}{rng.randrange(2)}", f"R1 {rng.randrange(2)}"]))
+    found = spark.createDataFrame(rows, "value string, kind long, may array<long>, patterns array<string>")
+    want = plain_discovery(rows)
+    assert {(r["value"], r["found"]) for r in personal_data.discover(found).collect()} == want and want
+
+
 def test_redaction(spark):
     rows = [(1, "mail a.b@c.org or 10.1.2.3!", 5), (2, None, 0), (3, "nothing", 7)]
     out = {r["doc_id"]: r for r in personal_data.redact(spark.createDataFrame(rows, "doc_id long, text string, n_chars long")).collect()}
