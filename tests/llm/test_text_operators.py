@@ -118,7 +118,72 @@ def test_folds_follow_crc32(spark):
 
 def outputs(text):
     entries = {"idiot": toxicity.Entry("insult", 2.0, True), "kill": toxicity.Entry("threat", 2.0, True), "lowei": toxicity.Entry("insult", 2.0, False)}
-    return toxicity.document_outputs(toxicity.Grammar(entries).compiled(), text)
+    grammar = toxicity.Grammar(entries)
+    return toxicity.document_outputs(grammar.compiled(), text, grammar.arcs)
+
+
+def plain_marks(words):
+    """What each word is marked as, read off the words before it."""
+    found, open_ = [], False
+    for i, w in enumerate(words):
+        before, marks = words[max(0, i - 4) : i], []
+        if w in ("insult", "threat"):
+            marks += ["negated"] * ("negation" in before) + ["targeted"] * ("target" in before) + ["reported"] * open_ + ["meant"] * (w == "threat" and "intent" in before)
+        if w == "target":
+            last = max((k for k, v in enumerate(before) if v in ("insult", "threat")), default=None)
+            marks += ["aimed"] * (last is not None and "target" not in before[last:])
+        open_ = True if w == "report" else not open_ if w == "quote" else open_
+        found.append("|".join([w, *marks]))
+    return found
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_machine_against_plain_marks(seed):
+    rng = random.Random(seed)
+    for _ in range(300):
+        words = [rng.choice(toxicity.CLASSES) for _ in range(rng.randint(0, 25))]
+        assert toxicity.machine().write(words) == plain_marks(words)
+
+
+def test_composition_is_one_after_the_other():
+    first = toxicity.window(toxicity.CLASSES, frozenset(["negation"]), frozenset(["insult", "threat"]), "negated")
+    second = toxicity.report(first.alphabet())
+    both, rng = toxicity.compose(first, second), random.Random(1)
+    for _ in range(300):
+        words = [rng.choice(toxicity.CLASSES) for _ in range(rng.randint(0, 25))]
+        assert both.write(words) == second.write(first.write(words))
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_documents_against_plain_clauses(seed):
+    """Clauses, words and scores of random texts by splitting them, with clauses beyond any limit."""
+    rng, grammar = random.Random(seed), toxicity.Grammar({"idiot": toxicity.Entry("insult", 2.0, True), "kill": toxicity.Entry("threat", 1.0, True)})
+    vocabulary_ = ["idiot", "kill", "you", "not", "said", '"', "will", "tree", "tree", "idiotic"]
+    for _ in range(60):
+        text = "".join(rng.choice(vocabulary_) + rng.choice([" "] * 9 + [". ", "\n"]) for _ in range(rng.choice([5, 40, 3000])))
+        scores, entries = [], set()
+        for clause in re.split("[.!?;:\n]", text):
+            words = re.findall(r'[a-z]+|"', clause)
+            kinds = [{"idiot": "insult", "kill": "threat"}.get(w) or toxicity._KINDS.get(w, "other") for w in words]
+            if not {"insult", "threat"} & set(kinds):
+                continue
+            entries |= {w for w in words if w in ("idiot", "kill")}
+            pay = {"insult": 2.0, "threat": 1.0, "target": 1.0}
+            scores.append(sum(pay[k] * toxicity.prior_weight(m) for k, m in zip(kinds, plain_marks(kinds), strict=True) if k in ("insult", "threat") or m.endswith("aimed")))
+        best, total, number = toxicity.document_outputs(grammar.compiled(), text, grammar.arcs)
+        assert abs(best - max(scores, default=0)) < 1e-9 and abs(total - sum(scores)) < 1e-6 and number == len(entries)
+
+
+def test_arcs_are_learnt_from_labels():
+    """Negated insults in clean rows, plain ones in toxic rows."""
+    rng = np.random.default_rng(0)
+    plain, negated = toxicity.paying().index("insult"), toxicity.paying().index("insult|negated")
+    x, label = np.zeros((2000, len(toxicity.paying()))), rng.integers(0, 2, 2000).astype(float)
+    x[label > 0, plain], x[label == 0, negated] = np.log1p(2), np.log1p(2)
+    arcs = toxicity.learn_arcs(x, label, np.ones(2000))
+    assert arcs[plain] > 1.5 and arcs[negated] < 0.1 < toxicity.prior_weight("insult|negated")
+    unmet = toxicity.paying().index("threat|meant")
+    assert abs(arcs[unmet] - toxicity.prior_weight("threat|meant")) < 1e-6
 
 
 def test_grammar_weighs_clauses():
