@@ -66,18 +66,79 @@ def test_quality_verdicts_follow_labels(spark):
     assert np.mean(good) > 0.98 and np.mean(bad) < 0.05
 
 
-def test_vote_model_recovers_accuracies():
-    rng = np.random.default_rng(0)
-    good = rng.random(20_000) < 0.8
-    votes = np.where(good[:, None], rng.random((20_000, 6)) < 0.999, rng.random((20_000, 6)) >= 0.45) * 2 - 1
+@pytest.mark.parametrize(("share", "right_on_good", "right_on_bad", "rules"), [(0.8, 0.9, 0.6, 6), (0.6, 0.8, 0.7, 8), (0.8, 0.999, 0.55, 6), (0.9, 0.95, 0.5, 10)])
+def test_vote_model_recovers_accuracies(share, right_on_good, right_on_bad, rules):
+    """Rules that misfire on up to a third of the good documents, and abstain on a fifth of all."""
+    rng, size = np.random.default_rng(0), 20_000
+    good = rng.random(size) < share
+    on_good, on_bad = right_on_good - np.linspace(0, 0.15, rules), right_on_bad + np.linspace(0, 0.2, rules)
+    votes = np.where(good[:, None], rng.random((size, rules)) < on_good, rng.random((size, rules)) >= on_bad) * 2 - 1
+    votes *= rng.random(votes.shape) < 0.8
     patterns, count = np.unique(votes, axis=0, return_counts=True)
     model = quality_rules.fit_votes(patterns.astype(float), count.astype(float))
-    assert abs(1 / (1 + np.exp(-model.bias)) - 0.8) < 0.05
-    assert all(w < 0 < v or v >= 0 for v, w in zip(model.for_good, model.for_bad, strict=True))
+    assert abs(1 / (1 + np.exp(-model.bias)) - share) < 0.05
+    assert np.allclose(model.for_good, np.log(on_good / (1 - on_bad)), atol=0.25) and np.allclose(model.for_bad, np.log((1 - on_good) / on_bad), atol=0.35 if right_on_good < 0.99 else 2)
     start = quality_rules.fit_votes(np.zeros((0, 6)), np.zeros(0))
     assert len(start.for_good) == 6
 
 
+def plain_votes(text):
+    """The rules by hand."""
+    words, lines = words_of(text), [x for x in (text or "").split("\n") if words_of(x)]
+    n, data = len(words), (text or "").encode()
+    of, share = max(n, 1), lambda good, bad: -1 if bad else 1 if good else 0
+    chars = sum(map(len, words))
+    upper, letters = sum(c in b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" for c in data), sum(65 <= c <= 90 or 97 <= c <= 122 or c >= 192 for c in data)
+    _, _, symbols, copies, repeats = plain_counts(text)
+    top = max(Counter(words).values(), default=0) / of
+    stops, small, long = sum(c in b".," for c in data) / of, sum(len(w.encode()) <= 3 for w in words) / of, sum(len(w.encode()) >= 16 for w in words) / of
+    exclaims, pipes, length = data.count(b"!") / of, data.count(b"|") / of, chars / of
+    shouting, symbols, repeats, copied, alpha = upper / max(letters, 1), symbols / of, repeats / of, copies / max(len(lines), 1), letters / max(chars, 1)
+    return (
+        share(n >= 30, n < 10), share(symbols < 0.1, symbols > 0.3), share(repeats < 0.05, repeats > 0.2), share(copied == 0 and len(lines) > 2, copied > 0.3), share(shouting < 0.2, shouting > 0.5),
+        share(exclaims < 0.05, exclaims > 0.3), share(pipes == 0, pipes > 0.2), share(0.02 <= stops < 0.5, n >= 30 and stops < 0.005), share(n >= 30 and top < 0.2, n >= 30 and top > 0.4),
+        share(alpha >= 0.8, n > 0 and alpha < 0.7), share(small >= 0.12, n >= 30 and small < 0.05), share(2.5 <= length < 9 and long < 0.2, n > 0 and (length < 2 or length > 14)),
+    )
+
+
+def plain_posteriors(votes, rounds=3000):
+    """Expectation-maximisation by loops over documents."""
+    from math import exp, log
+
+    width = len(votes[0])
+    good, bad, prior = [0.99] * width, [0.35] * width, 0.9
+    for _ in range(rounds):
+        odds = [log(prior / (1 - prior)) + sum(log(good[k] / (1 - bad[k])) if v > 0 else log((1 - good[k]) / bad[k]) for k, v in enumerate(d) if v) for d in votes]
+        sure = [1 / (1 + exp(-o)) for o in odds]
+        spoken = lambda k, want, w: sum(x for x, d in zip(w, votes, strict=True) if d[k] in want)
+        other = [1 - x for x in sure]
+        was = good
+        good = [(spoken(k, (1,), sure) + 20 * 0.99) / (spoken(k, (1, -1), sure) + 20) for k in range(width)]
+        bad = [(spoken(k, (-1,), other) + 20 * 0.35) / (spoken(k, (1, -1), other) + 20) for k in range(width)]
+        prior = (sum(sure) + 1) / (len(votes) + 2)
+        if max(abs(a - b) for a, b in zip(was, good, strict=True)) < 1e-12:
+            break
+    odds = [log(prior / (1 - prior)) + sum(log(good[k] / (1 - bad[k])) if v > 0 else log((1 - good[k]) / bad[k]) for k, v in enumerate(d) if v) for d in votes]
+    return [1 / (1 + exp(-o)) for o in odds]
+
+
+def test_quality_verdicts_by_hand(spark, small):
+    rows = QUERIES["op8_quality_rules"](spark, small).collect()
+    texts = dict(spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect())
+    want = plain_posteriors([plain_votes(texts[r["doc_id"]]) for r in rows])
+    assert max(abs(r["quality"] - w) for r, w in zip(rows, want, strict=True)) < 1e-4
+    assert all(r["kept"] == (not r["base_failed"] and w >= 0.5) for r, w in zip(rows, want, strict=True) if abs(w - 0.5) > 1e-3)
+
+
+def test_one_misfiring_rule_does_not_reject(spark):
+    """A line that a quarter of the good documents repeat: the only fault that one rule sees in them."""
+    base = "The river runs past the old mill, and the boats come home at dusk. "
+    rows = [(i, f"{base}Number {i} of them has a tale to tell, {'so' * (i % 5)} they say. " * 1 + "\n".join(["", f"line {i} here.", f"line {i} here.", f"line {i} here."] if i % 4 == 0 else ["", "one more.", f"and {i}, two."])) for i in range(400)]
+    rows += [(1000 + i, "#$% @@ || && ** " * 12 + str(i)) for i in range(40)]
+    out = {r["doc_id"]: r for r in quality_rules.quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(out[i]["kept"] for i in range(400) if not out[i]["base_failed"]) and not any(out[1000 + i]["kept"] for i in range(40))
+
+
 def accuracy(rows, label):
     held = [r for r in rows if r["held_out"]]
     assert held
