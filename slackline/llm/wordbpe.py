@@ -17,6 +17,7 @@ import json
 from contextlib import suppress
 from functools import lru_cache
 
+import numpy as np
 import regex
 
 END = "</w>"
@@ -28,6 +29,7 @@ LONGEST_KEY = 40
 #: Separators that every library treats as white space; others stay inside a chunk.
 SEPARATORS = " \n\t\r"
 
+_CLUSTERS = regex.compile(r"\X")
 _PLAIN = regex.compile(r"[!-~¡-¬®-ÿ]+")
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
@@ -51,6 +53,7 @@ class PrefixCounter:
         self._specials = regex.compile("|".join(map(regex.escape, specials))) if specials else None
         self._special_marks = {s[:2] for s in specials}
         self._letters: dict[str, str] = {}
+        self._normals: dict[str, str] = {}
         self._rank: dict[tuple[int, int], int] = {}
         parts: dict[int, tuple[int, int]] = {}
         for rank, merge in enumerate(description["model"]["merges"]):
@@ -90,24 +93,38 @@ class PrefixCounter:
             self._apart[a, b] = known
         return known
 
-    def _last(self, piece: str, j: int, i: int, last: list, ending: str):
-        """The start and number of the token that ends prefix i, among those that start at j or later."""
+    def _last(self, piece: str, j: int, i: int, last: list, ending: str, whole: bool = True):
+        """The start and number of the token that ends prefix i, among those that start at j or later. whole: the
+        piece begins at 0."""
         for k in range(j, i):
             t = self._vocabulary.get(piece[k:i] + ending)
-            if t is not None and (k == 0 or self._stay_apart(last[k], t)):
+            if t is not None and ((whole and k == 0) or self._stay_apart(last[k], t)):
                 return k, t
         raise ValueError(f"the vocabulary has no token for {piece[:i]!r}")
 
-    def piece_prefixes(self, piece: str) -> list[int]:
-        """Tokens of every prefix of a piece, each taken as a text of its own: the word ends there."""
-        last, inner, ended = [None], [0], [0]
-        for i in range(1, len(piece) + 1):
+    def piece_prefixes(self, piece: str, then: tuple[list, list] | None = None) -> list[int]:
+        """Tokens of every prefix of a piece, each taken as a text of its own: the word ends there. then: two empty
+        lists that get the last token, and the number of tokens, of each prefix that goes on, for continued()."""
+        last, inner = then or ([], [])
+        last.append(None)
+        inner.append(0)
+        return [0, *self.continued("", piece, (last, inner))]
+
+    def continued(self, before: str, more: str, state: tuple[list, list]) -> list[int]:
+        """Tokens of ``before`` and each prefix of ``more``, given the state of piece_prefixes() at the end of ``before``
+        (its last entries as far as a token reaches), which goes on with ``more``."""
+        last, inner = state
+        reach = min(len(before), self._longest)
+        piece, shift = before[len(before) - reach :] + more, len(last) - 1 - reach
+        near, ended = last[shift:], []
+        for i in range(reach + 1, len(piece) + 1):
             j = max(0, i - self._longest)
-            k, _ = self._last(piece, j, i, last, END)
-            ended.append(inner[k] + 1)
-            k, t = self._last(piece, j, i, last, "")
+            k, _ = self._last(piece, j, i, near, END, shift == 0)
+            ended.append(inner[shift + k] + 1)
+            k, t = self._last(piece, j, i, near, "", shift == 0)
+            near.append(t)
             last.append(t)
-            inner.append(inner[k] + 1)
+            inner.append(inner[shift + k] + 1)
         return ended
 
     def _piece(self, piece: str) -> int:
@@ -166,28 +183,21 @@ class PrefixCounter:
         return known
 
     def count(self, text: str | None) -> int:
-        if not text:
-            return 0
-        known = self._chunks
-        with suppress(UnicodeEncodeError):  # in Latin-1 lower case is letter by letter and nothing combines
-            text.encode("latin-1")
-            text = text if self._special_in(text) else text.lower()
-        return sum([known[c] if c in known else self.chunk(c) for c in chunks(text)])
+        return int(self.steps(text)[1].sum())
 
     def _special_in(self, text: str) -> bool:
         return any(m in text for m in self._special_marks)
 
-    def prefixes(self, text: str | None) -> tuple[list[int], list[int]]:
-        """Ends of the chunks of a text, in characters, and the exact token count of the prefix up to each."""
-        ends, totals, at, total = [], [], 0, 0
-        for c in chunks(text or ""):
-            at += len(c)
-            if c:
-                total += self.chunk(c)
-                ends.append(at)
-                totals.append(total)
-            at += 1
-        return ends, totals
+    def steps(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """For each chunk of a text: the characters from the last chunk's end to its own, and its tokens. Their running
+        sums are the ends of the prefixes that end with a chunk and the exact token counts of these."""
+        known = self._chunks
+        parts = chunks(self._lowered(text or ""))
+        tokens = np.fromiter([known[c] if c in known else self.chunk(c) for c in parts], np.int32, len(parts))
+        length = np.fromiter(map(len, parts), np.int32, len(parts))
+        ends = np.cumsum(length + 1) - 1
+        there = length > 0
+        return np.diff(ends[there], prepend=0).astype(np.int32), tokens[there]
 
     def every_prefix(self, text: str | None) -> list[int]:
         """The exact token count of every prefix of a text, from 0 characters to all."""
@@ -195,19 +205,104 @@ class PrefixCounter:
         for n, c in enumerate(chunks(text or "")):
             if n:
                 totals.append(before)  # the separator
-            if _PLAIN.fullmatch(c) and "'" not in c and not self._special_in(c):
-                done = before
-                for piece in _PIECES.findall(c.lower()):
-                    spelled, at = self.piece_prefixes(self._spelled(piece)), 0
-                    for letter in piece:
-                        at += len(letter.encode())
-                        totals.append(done + spelled[at])
-                    done += spelled[-1]
-            else:  # marks that combine, contractions, special tokens: a shorter prefix may be split otherwise
-                totals += [before + self.chunk(c[: i + 1]) for i in range(len(c))]
-            before += self.chunk(c)
+            if c:
+                inside = self._chunk_prefixes(c)
+                totals += [before + x for x in inside]
+                before += inside[-1]
         return totals
 
+    def _chunk_prefixes(self, chunk: str) -> list[int]:
+        """Token counts of all prefixes of a chunk but the empty one."""
+        if self._special_in(chunk):  # a special token's string counts only once it is whole
+            return self._with_specials(chunk)
+        clusters = _CLUSTERS.findall(chunk)
+        normal = list(map(self._normal, clusters))
+        whole = "".join(normal)
+        if self._library.normalizer.normalize_str(chunk) != whole:  # not met: marks combine inside a cluster only
+            return [self.chunk(chunk[: i + 1]) for i in range(len(chunk))]
+        split = self._library.pre_tokenizer.pre_tokenize_str(whole)
+        # of each place in the normalised chunk: tokens of the text up to it, and of the pieces before its own
+        upto, done, states, piece_at = [0] * (len(whole) + 1), 0, {}, [None] * (len(whole) + 1)
+        end_before = 0
+        for number, (spelled, (start, end)) in enumerate(split):
+            for i in range(end_before + 1, start + 1):
+                upto[i] = done
+            state: tuple[list, list] = ([], [])
+            ended, at = self.piece_prefixes(spelled, state), 0
+            for i in range(start, end):
+                at += len(whole[i].encode())
+                upto[i + 1], piece_at[i + 1] = done + ended[at], (number, at)
+            if whole[start] == "'" and end - start > 2:  # a contraction isn't one piece before it is whole
+                for i in range(start + 2, end):
+                    upto[i] = done + sum(self._piece(p) for p, _ in self._library.pre_tokenizer.pre_tokenize_str(whole[start:i]))
+            states[number] = spelled, state, done, whole[start] == "'" and whole[start + 1 : end].isalpha()
+            done, end_before = done + ended[-1], end
+        for i in range(end_before + 1, len(whole) + 1):
+            upto[i] = done
+        found, at = [], 0
+        for cluster, made in zip(clusters, normal, strict=True):
+            for j in range(1, len(cluster)):
+                part = self._normal(cluster[:j])
+                found.append(upto[at + len(part)] if made.startswith(part) else self._branched(whole[:at][-1:], part, upto[at], piece_at[at], states))
+            at += len(made)
+            found.append(upto[at])
+        return found
+
+    def _branched(self, before: str, part: str, upto: int, place: tuple[int, int] | None, states: dict) -> int:
+        """Tokens of a prefix whose last characters are ``part``, where the whole text goes on otherwise. before: the
+        character before the part. upto, place: the tokens up to there, and the piece there and the bytes of it."""
+        before = "" if place is None or states[place[0]][3] else before  # a contraction is never part of a longer piece
+        cut = self._library.pre_tokenizer.pre_tokenize_str(before + part)
+        if not before or not cut or cut[0][1][1] <= 1:  # the part begins a piece
+            return upto + sum(self._piece(p) for p, (_, end) in cut if end > len(before))
+        spelled, (last, inner), done, _ = states[place[0]]
+        own, reach = spelled[: place[1]], max(0, place[1] - self._longest)
+        more = cut[0][0][len(before.encode()) :]
+        state = (last[reach : place[1] + 1], inner[reach : place[1] + 1])
+        if reach:  # continued() tells the beginning of a piece by the length of its state
+            state = ([None, *state[0]], [0, *state[1]])
+        ended = self.continued(own, more, state)
+        return done + ended[-1] + sum(self._piece(p) for p, _ in cut[1:])
+
+    def _normal(self, cluster: str) -> str:
+        if cluster.isascii():
+            return cluster.lower()
+        known = self._normals.get(cluster)
+        if known is None:
+            known = self._library.normalizer.normalize_str(cluster)
+            if len(self._normals) > MEMORY:
+                self._normals.clear()
+            if len(cluster) <= LONGEST_KEY:
+                self._normals[cluster] = known
+        return known
+
+    def _with_specials(self, chunk: str) -> list[int]:
+        """As _chunk_prefixes(), in runs between special tokens; inside one, its beginning is plain text."""
+        found, done, at = [], 0, 0
+        for m in [*self._specials.finditer(chunk), None]:
+            run = chunk[at : m.start()] if m else chunk[at:]
+            plain = self._plain_prefixes(run + (m[0][:-1] if m else ""))
+            found += [done + x for x in plain]
+            if m:
+                done += (plain[len(run) - 1] if run else 0) + 1
+                found.append(done)
+                at = m.end()
+        return found
+
+    def _plain_prefixes(self, run: str) -> list[int]:
+        """Of a run without a whole special token."""
+        marks, self._special_marks = self._special_marks, set()
+        try:
+            return self._chunk_prefixes(run) if run else []
+        finally:
+            self._special_marks = marks
+
+    def _lowered(self, text: str) -> str:
+        with suppress(UnicodeEncodeError):  # in Latin-1 lower case is letter by letter and nothing combines
+            text.encode("latin-1")
+            return text if self._special_in(text) else text.lower()
+        return text
+
 
 @lru_cache(maxsize=2)
 def prefix_counter(path: str) -> PrefixCounter:

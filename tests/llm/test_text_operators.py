@@ -411,21 +411,54 @@ def test_token_counts_of_odd_texts(library):
 
 def test_every_prefix(library):
     counter, rng = PrefixCounter(vocabulary()), random.Random(4)
-    words = ["hello", "internationalization", "aaaaaaaaaaaa", "can't", "naïveté", "x" * 120, "", "12", "<|endoftext|>"]
-    for _ in range(60):
-        text = " ".join(rng.choice(words) for _ in range(4)) + "".join(rng.choice(LETTERS) for _ in range(6))
+    words = ["hello", "internationalization", "aaaaaaaaaaaa", "can't", "we'll", "'re", "naïveté", "x" * 120, "", "12", "<|endoftext|>", "a<|endoftext|>b", "日本語テキスト", "e\u0301a\u0323\u0301", "\u1112\u1161\u11ab\u1100\u116e\u11a8", "क्षि", "ไม่มี", "👨‍👩‍👧", "ΑΣ", "İx"]
+    for _ in range(150):
+        text = " ".join(rng.choice(words) + rng.choice(["", "", *words]) for _ in range(4)) + "".join(rng.choice(LETTERS) for _ in range(6))
         totals = counter.every_prefix(text)
-        assert totals == [len(library.encode(text[:i], add_special_tokens=False).ids) for i in range(len(text) + 1)]
+        assert totals == [len(library.encode(text[:i], add_special_tokens=False).ids) for i in range(len(text) + 1)], repr(text)
+
+
+@pytest.mark.parametrize("alphabet", ["日本語文字列漢検索", "가나다라마바", "абвгде", "กขคงจ่้ิ", "abcdé", "\u1112\u1161\u11ab", "e\u0301", "1١१", "।॥क्ष"])
+def test_every_prefix_of_long_runs(library, alphabet):
+    """In any script, in about linear time."""
+    import time
+
+    counter, rng = PrefixCounter(vocabulary()), random.Random(5)
+    text = "".join(rng.choice(alphabet) for _ in range(3000))
+    began = time.perf_counter()
+    totals = counter.every_prefix(text)
+    assert time.perf_counter() - began < 3
+    for i in [0, 1, 2, 3, 50, 777, 1500, 2999, 3000, *rng.sample(range(3000), 30)]:
+        assert totals[i] == len(library.encode(text[:i], add_special_tokens=False).ids)
+
+
+def test_prefixes_of_chunks(spark, library):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rng = random.Random(6)
+    for r in token_counts.prefix_table(docs, vocabulary()).collect():
+        ends, tokens = np.cumsum(r["end_steps"]), np.cumsum(r["token_steps"])
+        assert len(ends) == len(tokens)
+        for k in rng.sample(range(len(ends)), min(4, len(ends))):
+            own = spark_text(docs, r["doc_id"])[: ends[k]]
+            assert tokens[k] == len(library.encode(own, add_special_tokens=False).ids)
+
+
+_TEXTS = {}
+
+
+def spark_text(docs, doc_id):
+    if not _TEXTS:
+        _TEXTS.update(docs.select("doc_id", "text").collect())
+    return _TEXTS[doc_id]
 
 
 def test_budget_from_the_table(spark, library):
-    docs = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog"), (2, None)], "doc_id long, text string")
-    rows = token_counts.prefix_table(docs, vocabulary()).withColumn("cut", token_counts.longest_within(4)).collect()
-    assert {r["doc_id"]: r["cut"] for r in rows} == {1: 19, 2: 0}
-    dense = token_counts.prefix_table(docs.filter("doc_id = 1"), vocabulary(), every_character=True).withColumn("cut", token_counts.longest_within(4)).first()
     text = "the quick brown fox jumps over the lazy dog"
-    fits = [i for i in range(len(text) + 1) if len(library.encode(text[:i], add_special_tokens=False).ids) <= 4]
-    assert dense["cut"] == max(fits)
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "  two  spaces ")], "doc_id long, text string")
+    rows = token_counts.prefix_table(docs, vocabulary()).withColumn("cut", token_counts.longest_within(4)).collect()
+    assert {r["doc_id"]: r["cut"] for r in rows} == {1: 19, 2: 0, 3: 13}
+    dense = token_counts.every_prefix(docs.filter("doc_id = 1"), vocabulary()).first()["prefix_tokens"]
+    assert dense == [len(library.encode(text[:i], add_special_tokens=False).ids) for i in range(len(text) + 1)]
 
 
 def test_scores_ignore_metadata(spark):
