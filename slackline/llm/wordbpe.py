@@ -235,7 +235,7 @@ class PrefixCounter:
             if whole[start] == "'" and end - start > 2:  # a contraction isn't one piece before it is whole
                 for i in range(start + 2, end):
                     upto[i] = done + sum(self._piece(p) for p, _ in self._library.pre_tokenizer.pre_tokenize_str(whole[start:i]))
-            states[number] = spelled, state, done, whole[start] == "'" and whole[start + 1 : end].isalpha()
+            states[number] = spelled, state, done, whole[start] == "'" and whole[start + 1 : end].isalpha(), start
             done, end_before = done + ended[-1], end
         for i in range(end_before + 1, len(whole) + 1):
             upto[i] = done
@@ -243,19 +243,24 @@ class PrefixCounter:
         for cluster, made in zip(clusters, normal, strict=True):
             for j in range(1, len(cluster)):
                 part = self._normal(cluster[:j])
-                found.append(upto[at + len(part)] if made.startswith(part) else self._branched(whole[:at][-1:], part, upto[at], piece_at[at], states))
+                found.append(upto[at + len(part)] if made.startswith(part) else self._branched(whole, at, part, upto, piece_at, states))
             at += len(made)
             found.append(upto[at])
         return found
 
-    def _branched(self, before: str, part: str, upto: int, place: tuple[int, int] | None, states: dict) -> int:
-        """Tokens of a prefix whose last characters are ``part``, where the whole text goes on otherwise. before: the
-        character before the part. upto, place: the tokens up to there, and the piece there and the bytes of it."""
+    def _branched(self, whole: str, at: int, part: str, upto: list[int], piece_at: list, states: dict) -> int:
+        """Tokens of a prefix whose last characters are ``part``, where the whole text goes on otherwise from ``at`` on.
+        upto, piece_at: of each place the tokens up to it, and the piece that ends or goes on there and the bytes of it."""
+        mark = whole.rfind("'", max(0, at - 2), at)
+        if mark >= 0 and piece_at[mark + 1]:  # a contraction may begin in that piece
+            begin = states[piece_at[mark + 1][0]][4]
+            return upto[begin] + sum(self._piece(p) for p, _ in self._library.pre_tokenizer.pre_tokenize_str(whole[begin:at] + part))
+        place, before = piece_at[at], whole[:at][-1:]
         before = "" if place is None or states[place[0]][3] else before  # a contraction is never part of a longer piece
         cut = self._library.pre_tokenizer.pre_tokenize_str(before + part)
         if not before or not cut or cut[0][1][1] <= 1:  # the part begins a piece
-            return upto + sum(self._piece(p) for p, (_, end) in cut if end > len(before))
-        spelled, (last, inner), done, _ = states[place[0]]
+            return upto[at] + sum(self._piece(p) for p, (_, end) in cut if end > len(before))
+        spelled, (last, inner), done, *_ = states[place[0]]
         own, reach = spelled[: place[1]], max(0, place[1] - self._longest)
         more = cut[0][0][len(before.encode()) :]
         state = (last[reach : place[1] + 1], inner[reach : place[1] + 1])
