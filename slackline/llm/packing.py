@@ -13,7 +13,7 @@ tokenised again for that: a piece carries a checksum of each BLOCK of its ids, a
 of neighbouring blocks combine to that of a part.
 
 Cost: texts are tokenised once; narrow rows of pieces are stored and shuffled (with the ids,
-if they are asked for). Pieces of one length are numbered in as many chunks as a chunk has rows, so a
+if they are asked for, in two bytes each where the vocabulary fits). Pieces of one length are numbered in as many chunks as a chunk has rows, so a
 length that a third of all documents have is spread like any other, and no task sees more than
 the root of its rows. The driver holds the histogram (at most ``window`` rows) and the plan, both
 bounded by the window alone.
@@ -70,7 +70,8 @@ class Encoder:
 
         self._library = Tokenizer.from_file(path)
         vocabulary = self._library.get_vocab(with_added_tokens=False)
-        self._closes = np.zeros(max(self._library.get_vocab().values()) + 1, bool)  # tokens that end a word
+        self.largest = max(self._library.get_vocab().values())
+        self._closes = np.zeros(self.largest + 1, bool)  # tokens that end a word
         self._closes[[i for token, i in vocabulary.items() if token.endswith(END)]] = True
         self._young: dict[str, bytes] = {"": b""}
         self._old: dict[str, bytes] = {}
@@ -191,15 +192,17 @@ def combined(sums: list[int], ids: int) -> int:
 
 
 def cut_pieces(df: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens and blocks (see block_sums) of every piece, and its ids if asked for."""
+    """doc_id, start, length, ids_crc32, doc_tokens and blocks (see block_sums) of every piece, and if asked for its ids, lowest byte first:
+    two bytes each if all ids of the vocabulary have room in them, else four."""
     fields = [T.StructField("doc_id", df.schema["doc_id"].dataType)]
     fields += [T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens")] + [T.StructField("blocks", T.ArrayType(T.LongType()))]
-    schema = T.StructType(fields + [T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids)
+    schema = T.StructType(fields + [T.StructField("ids", T.BinaryType())] * with_ids)
     arrow = to_arrow_schema(schema)
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
         encode = encoder(tokenizer).encode
+        narrow = max(encoder(tokenizer).largest, end_id) < 1 << 16
         for whole in batches:
             for batch in slices(whole, "text"):
                 rows, held = [], []
@@ -209,11 +212,11 @@ def cut_pieces(df: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int
                     for at in range(0, len(data), 4 * window):
                         piece = data[at : at + 4 * window]
                         rows.append((doc_id, at // 4, len(piece) // 4, zlib.crc32(piece), len(data) // 4, block_sums(piece) if len(piece) < 4 * window else []))
-                        held += [piece] * with_ids
+                        if with_ids:
+                            held.append(np.frombuffer(piece, "<u4").astype("<u2").tobytes() if narrow else piece)
                 columns = [pa.array([r[i] for r in rows], arrow.field(i).type) for i in range(6)]
                 if with_ids:
-                    ends = np.cumsum([0, *(len(p) // 4 for p in held)], dtype=np.int32)
-                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(held), "<i4"))).cast(arrow.field(6).type))
+                    columns.append(pa.array(held, arrow.field(6).type))
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
         release()
 
@@ -313,10 +316,11 @@ def best_plan(histogram: dict[int, int], window: int = WINDOW) -> tuple[Plan, fr
 def _parts(row: dict) -> list[dict]:
     """A piece, cut into binary_parts()."""
     found, at = [], 0
+    width = len(row.get("ids", b"")) // row["length"]
     for length in binary_parts(row["length"]):
         own = row["blocks"][at // BLOCK : -(-(at + length) // BLOCK)]
         part = row | {"start": row["start"] + at, "length": length, "ids_crc32": combined(own, length)}
-        found.append(part | {"ids": row["ids"][at : at + length]} if "ids" in row else part)
+        found.append(part | {"ids": row["ids"][width * at : width * (at + length)]} if "ids" in row else part)
         at += length
     return found
 
@@ -361,10 +365,19 @@ def pack_documents(df: DataFrame, tokenizer: str, window: int = WINDOW, end_id:
     plan, cut = best_plan({r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}, window)  # at most ``window`` rows
     chunks = {length: -int(-(n**0.5) // 1) for length, n in plan.histogram.items()}
     names = [c for c in pieces.columns if c not in ("blocks", "_piece")]
-    schema = T.StructType([*(pieces.schema[c] for c in names), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    kept = [T.StructField(c, T.ArrayType(T.IntegerType())) if c == "ids" else pieces.schema[c] for c in names]
+    schema = T.StructType([*kept, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     return storage.tidy(ranked(dealt(pieces, cut, chunks)).select(*names, "rank").mapInArrow(_placer(plan, schema), schema), place)
 
 
+def _unpacked(ids: pa.Array, length: np.ndarray) -> pa.Array:
+    """Lists of ids, from those of each piece as bytes and their number."""
+    data = b"".join(ids.to_pylist())
+    ends = np.cumsum([0, *length], dtype=np.int32)
+    values = np.frombuffer(data, "<u2" if len(data) == 2 * ends[-1] else "<u4").astype("<i4")
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+
+
 def _placer(plan: Plan, schema: T.StructType) -> Callable:
     arrow = to_arrow_schema(schema)
 
@@ -373,7 +386,7 @@ def _placer(plan: Plan, schema: T.StructType) -> Callable:
             names = batch.schema.names
             value = lambda c: batch.column(names.index(c)).to_numpy(zero_copy_only=False)  # noqa: B023, E731
             sequence, offset = plan.place(value("length"), value("rank"))
-            kept = [batch.column(i).cast(arrow.field(i).type) for i in range(len(arrow) - 2)]
+            kept = [(_unpacked(batch.column(i), value("length")) if names[i] == "ids" else batch.column(i)).cast(arrow.field(i).type) for i in range(len(arrow) - 2)]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence), pa.array(offset)], schema=arrow)
 
     return run

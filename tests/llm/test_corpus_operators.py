@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -266,15 +267,19 @@ def test_hot_length_is_numbered_in_chunks(spark):
     assert all(sorted(v) == list(range(len(v))) for v in by.values()) and sum(map(len, by.values())) == 5000
 
 
+@pytest.mark.parametrize("width", ["<u2", "<u4"])
 @pytest.mark.parametrize("size", [1, 63, 64, 65, 127, 128, 2400, 4095])
-def test_parts_have_the_checksums_of_their_ids(size):
+def test_parts_have_the_checksums_of_their_ids(size, width):
     ids = np.random.default_rng(size).integers(0, 49_000, size).astype("<u4")
-    row = {"start": 4096, "length": size, "ids_crc32": zlib.crc32(ids.tobytes()), "blocks": packing.block_sums(ids.tobytes()), "ids": ids.tolist()}
+    row = {"start": 4096, "length": size, "ids_crc32": zlib.crc32(ids.tobytes()), "blocks": packing.block_sums(ids.tobytes()), "ids": ids.astype(width).tobytes()}
     assert packing.combined(row["blocks"], size) == row["ids_crc32"]
     parts = packing._parts(row)
-    assert sum((p["ids"] for p in parts), []) == ids.tolist() and [p["length"] for p in parts] == packing.binary_parts(size)
+    assert b"".join(p["ids"] for p in parts) == row["ids"] and [p["length"] for p in parts] == packing.binary_parts(size)
     for p in parts:
-        assert p["ids_crc32"] == zlib.crc32(np.array(p["ids"], "<u4").tobytes()) and p["ids"] == ids.tolist()[p["start"] - 4096 :][: p["length"]]
+        own = np.frombuffer(p["ids"], width)
+        assert p["ids_crc32"] == zlib.crc32(own.astype("<u4").tobytes()) and own.tolist() == ids.tolist()[p["start"] - 4096 :][: p["length"]]
+    listed = packing._unpacked(pa.array([p["ids"] for p in parts]), np.array([p["length"] for p in parts]))
+    assert sum(listed.to_pylist(), []) == ids.tolist() and [len(x) for x in listed.to_pylist()] == packing.binary_parts(size)
 
 
 def test_packed_ids_are_the_documents(spark):
