@@ -50,8 +50,8 @@ END_ID = 2
 BLOCK = 64
 #: A window that is short of its size by more than this share is far from full.
 SLACK = 1 / 64
-#: Chunks of text in a generation of those whose ids a worker remembers, each about 200 bytes: 80 MB in all.
-MEMORY = 200_000
+#: Chunks of text in a generation of those whose ids a worker remembers, each about 200 bytes: 160 MB in two generations.
+MEMORY = 400_000
 #: Characters of texts whose unknown words are asked of the library at once.
 TOGETHER = 200_000
 #: Punctuation that ends words.
