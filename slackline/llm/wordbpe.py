@@ -15,15 +15,19 @@ from __future__ import annotations
 
 import json
 from contextlib import suppress
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import regex
 
 END = "</w>"
+#: Stands for a word's end where tokens are looked for; no vocabulary spells anything with it.
+_STOP = "\n"
 _FOREVER = 1 << 60
-#: Chunks, pieces and pairs remembered by a worker at most, each about 200 bytes: 120 MB in all; then it starts anew.
-MEMORY = 200_000
+#: Chunks, pieces and pairs remembered by a worker at most, each about 200 bytes: 240 MB in all; then it starts anew.
+MEMORY = 400_000
+#: Characters of pieces whose tokens are worked out at once.
+TOGETHER = 200_000
 #: Longest chunk that is remembered, in characters.
 LONGEST_KEY = 40
 #: Separators that every library treats as white space; others stay inside a chunk.
@@ -129,29 +133,66 @@ class PrefixCounter:
 
     def _piece(self, piece: str) -> int:
         known = self._pieces.get(piece)
-        if known is None:
-            known = 1 if piece + END in self._vocabulary else self._dynamic(piece)
-            if len(piece) <= LONGEST_KEY:
-                if len(self._pieces) > MEMORY:
-                    self._pieces.clear()
-                self._pieces[piece] = known
-        return known
-
-    def _dynamic(self, piece: str) -> int:
-        """As piece_prefixes(), of which it is the last number, with only the last prefix ended."""
-        token, apart, memory, longest = self._vocabulary.get, self._stay_apart, self._apart.get, self._longest
-        last, inner, n = [-1], [0], len(piece)
-        for i in range(1, n + 1):
-            ending = END if i == n else ""
-            for k in range(max(0, i - longest), i):
-                t = token(piece[k:i] + ending)
-                if t is not None and (not k or (memory((last[k], t)) or apart(last[k], t))):
-                    last.append(t)
-                    inner.append(inner[k] + 1)
-                    break
+        return self._learnt([piece])[piece] if known is None else known
+
+    def _learnt(self, pieces: list[str]) -> dict[str, int]:
+        """The tokens of pieces that aren't remembered."""
+        found, rest, size = {}, [], 0
+        for piece in pieces:
+            if piece + END in self._vocabulary:
+                found[piece] = 1
             else:
-                raise ValueError(f"the vocabulary has no token for {piece[:i]!r}")
-        return inner[n]
+                rest.append(piece)
+                size += len(piece)
+                if size > TOGETHER:
+                    found |= self._dynamic(rest)
+                    rest, size = [], 0
+        found |= self._dynamic(rest)
+        if len(self._pieces) > MEMORY:
+            self._pieces.clear()
+        self._pieces.update((p, n) for p, n in found.items() if len(p) <= LONGEST_KEY)
+        return found
+
+    @cached_property
+    def _automaton(self):
+        """Every token of the vocabulary, a word end written as the character _STOP: its number and its length, negative
+        if it ends a word."""
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for token, number in self._vocabulary.items():
+            spelled = token.removesuffix(END)
+            if spelled:
+                automaton.add_word(spelled + _STOP if token.endswith(END) else spelled, (number, -len(spelled) - 1 if token.endswith(END) else len(spelled)))
+        automaton.make_automaton()
+        return automaton
+
+    def _dynamic(self, pieces: list[str]) -> dict[str, int]:
+        """As the last number of piece_prefixes(), of many pieces: an automaton finds the tokens that end each prefix,
+        and the only one that fits gives the prefix its last token and its count."""
+        text = _STOP.join([*pieces, ""])
+        last, inner, ended = [None] * (len(text) + 1), [0] * (len(text) + 1), {}
+        starts, at = [], 0
+        for piece in pieces:
+            starts.append(at)
+            last[at] = -1
+            at += len(piece) + 1
+        apart, memory = self._stay_apart, self._apart.get
+        for end, (token, width) in self._automaton.iter(text):
+            i = end + 1
+            if width > 0:
+                if last[i] is None:
+                    a = last[i - width]
+                    fits = a < 0 or memory((a, token))
+                    if apart(a, token) if fits is None else fits:
+                        last[i] = token
+                        inner[i] = inner[i - width] + 1
+            elif i not in ended:
+                a = last[i + width]
+                fits = a < 0 or memory((a, token))
+                if apart(a, token) if fits is None else fits:
+                    ended[i] = inner[i + width] + 1
+        return {piece: ended[start + len(piece) + 1] for piece, start in zip(pieces, starts, strict=True)}
 
     def _spelled(self, piece: str) -> str:
         """A piece in the vocabulary's alphabet, where every byte is one character."""
@@ -170,17 +211,29 @@ class PrefixCounter:
     def chunk(self, chunk: str) -> int:
         """Tokens of a chunk; a special token's string counts one."""
         known = self._chunks.get(chunk)
-        if known is None:
-            known, rest = 0, [chunk]
-            if self._special_in(chunk):
-                known, rest = len(self._specials.findall(chunk)), self._specials.split(chunk)
-            known += sum(self._piece(p) for part in rest for p in self.pieces(part))
-            if len(chunk) <= LONGEST_KEY:
-                if len(self._chunks) > MEMORY:
-                    self._chunks.clear()
-                    self._chunks[""] = 0
-                self._chunks[chunk] = known
-        return known
+        return self._learnt_chunks([chunk])[chunk] if known is None else known
+
+    def _learnt_chunks(self, unknown: list[str]) -> dict[str, int]:
+        """The tokens of chunks that aren't remembered."""
+        found, split, pieces = {}, [], self._pieces
+        for c in unknown:
+            if self._special_in(c):
+                found[c] = len(self._specials.findall(c))
+                split.append([p for part in self._specials.split(c) for p in self.pieces(part)])
+            else:
+                found[c] = 0
+                split.append(self.pieces(c))
+        needed = dict.fromkeys(p for own in split for p in own)
+        of = {p: pieces[p] for p in needed if p in pieces}
+        of |= self._learnt([p for p in needed if p not in of])
+        for c, own in zip(unknown, split, strict=True):
+            for p in own:
+                found[c] += of[p]
+        if len(self._chunks) > MEMORY:
+            self._chunks.clear()
+            self._chunks[""] = 0
+        self._chunks.update((c, n) for c, n in found.items() if len(c) <= LONGEST_KEY)
+        return found
 
     def count(self, text: str | None) -> int:
         return int(self.steps(text)[1].sum())
@@ -191,9 +244,12 @@ class PrefixCounter:
     def steps(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """For each chunk of a text: the characters from the last chunk's end to its own, and its tokens. Their running
         sums are the ends of the prefixes that end with a chunk and the exact token counts of these."""
-        known = self._chunks
         parts = chunks(self._lowered(text or ""))
-        tokens = np.fromiter([known[c] if c in known else self.chunk(c) for c in parts], np.int32, len(parts))
+        found = list(map(self._chunks.get, parts))
+        if None in found:
+            learnt = self._learnt_chunks(list({c: None for c, n in zip(parts, found, strict=True) if n is None}))
+            found = [learnt[c] if n is None else n for c, n in zip(parts, found, strict=True)]
+        tokens = np.array(found, np.int32)
         length = np.fromiter(map(len, parts), np.int32, len(parts))
         ends = np.cumsum(length + 1) - 1
         there = length > 0
