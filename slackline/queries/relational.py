@@ -360,11 +360,11 @@ def j10_left_aggregate(spark, d):
     return stops(spark, d).join(n, "stop", "left").select("stop", "lat", "lon", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query(f"""WITH {OBSERVATIONS}, w AS (SELECT user_id % 10 AS station, date_trunc('hour', ts) AS h, avg(delay) AS temp FROM obs WHERE bpuic < 50 GROUP BY 1, 2), j AS (SELECT event_id, transport, temp FROM obs LEFT JOIN w ON w.station = bpuic % 10 AND w.h = date_trunc('hour', ts))
+@query(f"""WITH {OBSERVATIONS}, w AS (SELECT user_id % 10 AS station, date_trunc('hour', ts) AS h, avg(delay) AS temp FROM obs GROUP BY 1, 2), j AS (SELECT event_id, transport, temp FROM obs LEFT JOIN w ON w.station = bpuic % 10 AND w.h = date_trunc('hour', ts))
   SELECT event_id, round(coalesce(temp, (SELECT avg(temp) FROM j)) + 1e-9, 4) AS temp, round(CASE WHEN transport = 'click' THEN coalesce(temp, (SELECT avg(temp) FROM j)) ELSE 0.0 END + 1e-9, 4) AS temp_bus FROM j""")
 def j11_weather_hour(spark, d):
     o = observations(spark, d).withColumn("product", F.when(F.col("transport") == "click", "BUS").otherwise("TRAM"))
-    weather = o.filter("bpuic < 50").groupBy((F.col("user_id") % 10).cast("int").alias("station"), F.date_trunc("hour", "ts").alias("hour_start")).agg(F.avg("delay").alias("temp"))
+    weather = o.groupBy((F.col("user_id") % 10).cast("int").alias("station"), F.date_trunc("hour", "ts").alias("hour_start")).agg(F.avg("delay").alias("temp"))
     station_of = spark.range(100).select(F.col("id").cast("int").alias("stop"), (F.col("id") % 10).cast("int").alias("station"))
     return features.with_weather(o, station_of, weather, ["temp"]).select("event_id", R4("temp").alias("temp"), R4("temp_bus").alias("temp_bus"))
 
@@ -472,7 +472,7 @@ def j22_unobserved_anti(spark, d):
     return read(spark, d, "part", "p_partkey").join(seen, "p_partkey", "left_anti")
 
 
-@query(f"""WITH {STOP_TIMES}, pl AS (SELECT trip_id, stop, trip_id % 3 AS agency, nullif(stop_sequence, 1) AS arr, arr_secs AS dep FROM st WHERE trip_id % 10 = 0), ob AS (SELECT trip_id AS obs_trip, DATE '2024-01-01' + CAST(trip_id % 5 AS INTEGER) AS day, stop, trip_id % 3 AS agency, nullif(stop_sequence, 1) AS arr, arr_secs AS dep FROM st WHERE trip_id % 20 = 0),
+@query(f"""WITH {STOP_TIMES}, pl AS (SELECT trip_id, stop, trip_id % 3 AS agency, nullif(stop_sequence, 1) AS arr, arr_secs AS dep FROM st), ob AS (SELECT trip_id AS obs_trip, DATE '2024-01-01' + CAST(trip_id % 5 AS INTEGER) AS day, stop, trip_id % 3 AS agency, nullif(stop_sequence, 1) AS arr, arr_secs AS dep FROM st),
   m AS (SELECT pl.trip_id, ob.day, ob.obs_trip, count(DISTINCT pl.stop) AS met FROM pl JOIN ob ON pl.stop = ob.stop AND pl.agency = ob.agency AND pl.arr IS NOT DISTINCT FROM ob.arr AND pl.dep IS NOT DISTINCT FROM ob.dep GROUP BY 1, 2, 3)
   SELECT trip_id, day, obs_trip FROM m JOIN (SELECT trip_id, count(DISTINCT stop) AS size FROM pl GROUP BY 1) USING (trip_id) WHERE met = size""", days=("day",))
 def j23_null_safe_align(spark, d):
@@ -488,7 +488,7 @@ def j24_valid_pairs(spark, d):
     return li.join(valid, ["l_partkey", "l_suppkey"], "left_semi").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
-@query("""WITH a AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n_f FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 5 = 0 GROUP BY 1), b AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n_o FROM orders WHERE o_orderstatus = 'O' AND o_orderkey % 5 = 0 GROUP BY 1)
+@query("""WITH a AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n_f FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), b AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n_o FROM orders WHERE o_orderstatus = 'O' GROUP BY 1)
   SELECT coalesce(a.day, b.day) AS day, coalesce(n_f, 0) AS n_f, coalesce(n_o, 0) AS n_o FROM a FULL JOIN b ON a.day = b.day""", days=("day",))
 def j25_full_outer(spark, d):
     o = read(spark, d, "orders", "o_orderdate", "o_orderstatus").withColumn("day", F.to_date("o_orderdate"))
@@ -1004,7 +1004,7 @@ def u5_except(spark, d):
     return read(spark, d, "part").select(F.col("p_partkey").alias("k")).subtract(read(spark, d, "lineitem").filter("l_quantity > 40").select(F.col("l_partkey").alias("k")))
 
 
-@query("""WITH a AS (SELECT DISTINCT l_suppkey AS s, l_linenumber AS n FROM lineitem WHERE l_discount < 0.02 AND l_orderkey % 50 = 0), b AS (SELECT DISTINCT l_suppkey AS s, l_linenumber AS n FROM lineitem WHERE l_discount > 0.08 AND l_orderkey % 50 = 0)
+@query("""WITH a AS (SELECT DISTINCT l_suppkey AS s, l_linenumber AS n FROM lineitem WHERE l_discount < 0.02), b AS (SELECT DISTINCT l_suppkey AS s, l_linenumber AS n FROM lineitem WHERE l_discount > 0.08)
   SELECT *, 'left' AS side FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT *, 'right' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""")
 def u6_symmetric_difference(spark, d):
     li = read(spark, d, "lineitem", "l_suppkey", "l_linenumber", "l_discount")

@@ -172,7 +172,7 @@ def d44_slots(spark, d):
     return spark.createDataFrame([(s.active, s.idle, s.due(datetime.date(2026, 2, 7)))], "active string, idle string, due boolean")
 
 
-@query(f"WITH {STOP_TIMES}, c AS (SELECT trip_id, stop_sequence, stop FROM st WHERE trip_id % 10 = 0), {OBSERVATIONS}, q AS (SELECT bpuic, quantile_disc(delay, 0.9) AS p90 FROM obs GROUP BY 1) SELECT trip_id, stop_sequence::INTEGER AS stop_sequence, coalesce(p90, 0.0) AS predicted FROM c LEFT JOIN q ON bpuic = stop")
+@query(f"WITH {STOP_TIMES}, c AS (SELECT trip_id, stop_sequence, stop FROM st), {OBSERVATIONS}, q AS (SELECT bpuic, quantile_disc(delay, 0.9) AS p90 FROM obs GROUP BY 1) SELECT trip_id, stop_sequence::INTEGER AS stop_sequence, coalesce(p90, 0.0) AS predicted FROM c LEFT JOIN q ON bpuic = stop")
 def d51_add_delays(spark, d):
     """Every ride's predicted delay at a probability, from the lookup by stop."""
     from slackline.functions import quantiles as Q
