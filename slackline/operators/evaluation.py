@@ -102,3 +102,11 @@ def check_artifact(lookup: DataFrame, key: str = "key", fields: int = 6, low: fl
         F.count("*").alias("rows"), F.count_if(F.size(F.split(key, "__")) != fields).alias("bad_keys"), F.count_if(F.size(v) != len(LEVELS)).alias("bad_length"),
         F.count_if(F.exists(v, lambda x: (x < low) | (x > high))).alias("out_of_range"), F.count_if(v != F.array_sort(v)).alias("out_of_order"),
     )
+
+
+def frontier(rows: DataFrame, level: str, minutes: str, success: str) -> DataFrame:
+    """(level, minutes, success, efficient): means by level, and whether no other level takes no longer, succeeds no less often and is better in one."""
+    means = rows.groupBy(level).agg(F.avg(minutes).alias("minutes"), F.avg(F.col(success).cast("double")).alias("success"))
+    rivals = means.agg(F.collect_list(F.struct("minutes", "success")).alias("_all"))  # one entry a level
+    beaten = F.exists("_all", lambda x: (x["minutes"] <= F.col("minutes")) & (x["success"] >= F.col("success")) & ((x["minutes"] < F.col("minutes")) | (x["success"] > F.col("success"))))
+    return means.join(rivals).select(level, "minutes", "success", (~beaten).alias("efficient"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from slackline.functions import cleaning
+from slackline.functions.clock import DAY
 from slackline.functions.quantiles import LEVELS, exact_percentiles
 
 # Key sets of the historical aggregates.
@@ -171,6 +172,30 @@ def align_trips(planned: DataFrame, observed: DataFrame) -> DataFrame:
     return met.join(size, "trip_id").filter("met = size").select("trip_id", "day", "obs_trip")
 
 
+def match_trips(planned: DataFrame, observed: DataFrame) -> DataFrame:
+    """(obs_trip, trip_id) of observed trips and the planned trips they run: clocks meet, then the first met stop's day is one of
+    the plan's days, then every stop of the observed trip that any such plan meets is met by this one.
+
+    planned: trip_id, stop, agency, stop_sequence, arr, dep (seconds since midnight, which may pass 24 hours), runs (array of booleans,
+    Monday first). observed: obs_trip, stop, agency, arr, dep, weekday (0 is Monday); a null clock meets any. Stops meet by equality on
+    one known clock, so that no join goes by stop alone but for stops without any clock.
+    """
+    at = lambda c: F.col(c) % DAY
+    p = planned.select("trip_id", "stop", "agency", "stop_sequence", at("arr").alias("_arr"), at("dep").alias("_dep"), "runs")
+    o = observed.select("obs_trip", F.col("stop").alias("_stop"), F.col("agency").alias("_agency"), at("arr").alias("_a"), at("dep").alias("_d"), "weekday")
+    place = (F.col("_stop") == F.col("stop")) & (F.col("_agency") == F.col("agency"))
+    parts = [("_d is not null", F.col("_dep") == F.col("_d")), ("_d is null and _a is not null", F.col("_arr") == F.col("_a")), ("_d is null and _a is null", F.lit(True))]
+    met = None
+    for which, same in parts:
+        joined = o.filter(which).join(p, place & same).filter("_a is null or _a = _arr")
+        rows = joined.select("obs_trip", "trip_id", "stop", "stop_sequence", F.coalesce(F.get("runs", "weekday"), F.lit(False)).alias("runs_then"))
+        met = rows if met is None else met.unionByName(rows)
+    first = F.min(F.struct("stop_sequence", (~F.col("runs_then")).alias("idle")))
+    pairs = met.groupBy("obs_trip", "trip_id").agg(first.alias("first"), F.collect_set("stop").alias("stops")).filter("not first.idle")
+    all_met = pairs.select("obs_trip", F.explode("stops").alias("stop")).groupBy("obs_trip").agg(F.count_distinct("stop").alias("n"))
+    return pairs.join(all_met, "obs_trip").filter(F.size("stops") == F.col("n")).select("obs_trip", "trip_id")
+
+
 def sliding_percentile(rows: DataFrame, key: str, time: str, value: str, q: float, hours_back: int) -> DataFrame:
     """(hour_start, key, p): the percentile over the current hour and ``hours_back`` before it, one row a key and hour."""
     hourly = rows.withColumn("hour_start", F.date_trunc("hour", time)).withColumn("_h", F.unix_timestamp("hour_start"))

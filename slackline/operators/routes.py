@@ -103,3 +103,31 @@ def pareto(pairs: DataFrame, key: str) -> DataFrame:
     distinct = pairs.groupBy(key, "departure_secs").agg(F.min("arrival_secs").alias("arrival_secs"))
     w = Window.partitionBy(key).orderBy(F.desc("departure_secs")).rowsBetween(Window.unboundedPreceding, -1)
     return distinct.withColumn("_best", F.min("arrival_secs").over(w)).filter("_best is null or arrival_secs < _best").drop("_best")
+
+
+def inserted(pairs: DataFrame, key: str) -> DataFrame:
+    """pareto() by insertion: a pair is turned away if one that is kept leaves no earlier and arrives no later, and else drives out
+    those it beats. What is folded is one pair a departure, so a key's array is no longer than its departures."""
+    distinct = pairs.groupBy(key, "departure_secs").agg(F.min("arrival_secs").alias("arrival_secs"))
+    pair = F.struct("departure_secs", "arrival_secs")
+    beats = lambda a, b: (a["departure_secs"] >= b["departure_secs"]) & (a["arrival_secs"] <= b["arrival_secs"])
+    kind = f"array<struct<departure_secs:{distinct.schema['departure_secs'].dataType.simpleString()},arrival_secs:{distinct.schema['arrival_secs'].dataType.simpleString()}>>"
+
+    def insert(kept, x):
+        return F.when(F.exists(kept, lambda y: beats(y, x)), kept).otherwise(F.concat(F.filter(kept, lambda y: ~beats(x, y)), F.array(x)))
+
+    folded = distinct.groupBy(key).agg(F.collect_list(pair).alias("_all")).withColumn("_kept", F.aggregate("_all", F.array().cast(kind), insert))
+    return folded.select(key, F.inline("_kept"))
+
+
+def from_rides(rides: DataFrame, key: str, walk_seconds: Column) -> DataFrame:
+    """The way back from step_table(): routes with their array of steps, from rides in order of step_index, with a walk of ``walk_seconds`` where a
+    ride doesn't start where the last one ended. A route's steps are few, so its array is built in one group."""
+    w = Window.partitionBy(key).orderBy("step_index")
+    step = lambda type_, trip, a, b, dep, arr: F.struct(F.lit(type_).alias("type"), trip.alias("trip_id"), a.alias("from_stop"), b.alias("to_stop"), dep.alias("departure_secs"), arr.alias("arrival_secs"))
+    ride = step("ride", F.col("trip_id"), F.col("from_stop"), F.col("to_stop"), F.col("departure_secs"), F.col("arrival_secs"))
+    walk = step("walk", F.lit(None).cast("string"), F.col("to_stop"), F.col("_next"), F.col("arrival_secs"), F.col("arrival_secs") + walk_seconds)
+    own = F.when(F.col("_next") != F.col("to_stop"), F.array(ride, walk)).otherwise(F.array(ride))
+    parts = rides.withColumn("_next", F.lead("from_stop").over(w)).select(key, "step_index", own.alias("own"))
+    listed = parts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("step_index", "own"))).alias("_p"))
+    return listed.select(key, F.flatten(F.transform("_p", lambda x: x["own"])).alias("steps"))

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+from typing import TYPE_CHECKING
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 # The source's German column names and ours.
 ISTDATEN_COLUMNS = {
     "BETRIEBSTAG": "operating_day", "FAHRT_BEZEICHNER": "trip_id", "BETREIBER_ID": "operator_id", "BETREIBER_ABK": "operator_abrv",
@@ -70,15 +76,45 @@ def write_single_csv(rows: DataFrame, path: str) -> None:
     rows.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
-def create_once(spark: SparkSession, name: str, rows: DataFrame, force: bool = False) -> DataFrame:
-    """A saved table that is made when it isn't there, or anew with ``force``."""
+def read_range(spark: SparkSession, folder: str, first: date, last: date) -> DataFrame:
+    """Rows of daily folders (day=YYYY-MM-DD) from the first to the last day, both included. Days without a folder are left out;
+    none at all is an error. One glob names the days, so they are listed and read in parallel."""
+    from pyspark.errors import AnalysisException
+
+    if last < first:
+        raise ValueError("no days given")
+    days = ",".join((first + timedelta(k)).isoformat() for k in range((last - first).days + 1))
+    try:
+        return spark.read.option("basePath", folder).parquet(f"{folder}/day={{{days}}}")
+    except AnalysisException as e:
+        raise ValueError(f"no day from {first} to {last}") from e
+
+
+def exists(spark: SparkSession, name: str) -> bool:
+    """Whether the catalog has a table or view of the name."""
+    return spark.catalog.tableExists(name)
+
+
+def create_once(spark: SparkSession, name: str, rows: DataFrame, force: bool = False, path: str | None = None) -> DataFrame:
+    """A saved table that is made when it isn't there, or anew with ``force``; in the warehouse, or at a path."""
     if force:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
-    if not spark.catalog.tableExists(name):
-        rows.write.saveAsTable(name)
+    if not exists(spark, name):
+        writer = rows.write.mode("overwrite")
+        (writer.option("path", path) if path else writer).saveAsTable(name)
     return spark.table(name)
 
 
+def upload(rows: DataFrame, path: str, schema: T.StructType, batch: int) -> None:
+    """A table anew under a declared schema, in files of at most ``batch`` rows, written in parallel."""
+    as_declared(rows, schema).write.mode("overwrite").option("maxRecordsPerFile", batch).parquet(path)
+
+
+def from_local(spark: SparkSession, frame: pd.DataFrame) -> DataFrame:
+    """A driver's small frame as a table, without the columns that are null in every row, whose type nobody knows."""
+    return spark.createDataFrame(frame.dropna(axis="columns", how="all"))
+
+
 def newest(rows: DataFrame, version: str) -> DataFrame:
     """The rows of the newest version. The maximum is a one-row table, so that the scan can be pruned by it."""
     top = rows.agg(F.max(version).alias("_top"))

@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import defaultdict
 from datetime import date
 
 import pytest
@@ -11,6 +12,7 @@ from slackline.functions import cleaning, clock, geo
 from slackline.functions import quantiles as Q
 from slackline.operators import evaluation, features, journeys, lifecycle, models, routes, timetable, walks
 from slackline.plans import scan
+from slackline.queries import QUERIES, domain
 from slackline.sources import tables
 
 SLOW = [120.0, 180.0, 240.0, 360.0, 420.0, 480.0, 600.0]
@@ -379,3 +381,46 @@ def test_settings(monkeypatch):
         get_settings(nonsense=1)
     with pytest.raises(AttributeError):
         s.max_walk = 1.0
+
+
+def test_match_trips_by_hand(spark):
+    """An observed trip without a first arrival and a last departure; plans that differ in a clock, a day or a stop."""
+    runs, secs = "array(true, true, true, true, true, false, false)", {c: clock.clock_seconds(F.col(c)) for c in ("arr", "dep")}
+    plan = [("good", 1, 1, "07:59:00", "08:00:00"), ("good", 2, 2, "08:10:00", "08:11:00"), ("good", 3, 3, "08:20:00", "08:21:00"), ("late", 1, 1, "07:59:00", "08:00:00"), ("late", 2, 2, "08:12:00", "08:13:00"), ("night", 7, 1, "25:00:00", "25:01:00")]
+    planned = spark.createDataFrame(plan, "trip_id string, stop int, stop_sequence int, arr string, dep string").selectExpr("*", "'x' AS agency", f"{runs} AS runs").withColumns(secs)
+    seen = [("o", 1, None, "08:00:00", 0), ("o", 2, "08:10:00", "08:11:00", 0), ("o", 3, "08:20:00", None, 0), ("sunday", 1, None, "08:00:00", 6), ("n", 7, "01:00:00", "01:01:00", 4), ("blank", 3, None, None, 1)]
+    observed = spark.createDataFrame(seen, "obs_trip string, stop int, arr string, dep string, weekday int").selectExpr("*", "'x' AS agency").withColumns(secs)
+    got = sorted(map(tuple, features.match_trips(planned, observed).collect()))
+    assert got == [("blank", "good"), ("n", "night"), ("o", "good")]
+    other = observed.withColumn("agency", F.lit("y"))
+    assert features.match_trips(planned, other).isEmpty() and features.match_trips(planned.limit(0), observed).isEmpty()
+
+
+def test_steps_of_routes_hang_together(spark, small):
+    """Each route starts and ends where it was asked to, step after step, and its rides run in the timetable."""
+    asked = {r["query_id"]: r for r in domain._queries(spark, small, 30).collect()}
+    rides = {(r["trip_id"], r["dep_stop"], r["dep_secs"]) for r in domain._network(spark, small)[0].select("trip_id", "dep_stop", "dep_secs").collect()}
+    found = defaultdict(list)
+    for r in QUERIES["d20_reconstruct_route"](spark, small).collect():
+        found[r["query_id"], r["route_rank"]].append(r)
+    assert found
+    for (query, _), steps in found.items():
+        steps.sort(key=lambda s: s["step_index"])
+        assert [s["step_index"] for s in steps] == list(range(len(steps)))
+        assert steps[0]["from_stop"] == asked[query]["start"] and steps[-1]["to_stop"] == asked[query]["goal"]
+        assert steps[-1]["arrival_secs"] <= asked[query]["deadline_secs"]
+        assert all(a["to_stop"] == b["from_stop"] and a["arrival_secs"] <= b["departure_secs"] for a, b in zip(steps, steps[1:]))
+        assert all((int(s["trip_id"]), s["from_stop"], s["departure_secs"]) in rides for s in steps if s["type"] == "ride")
+
+
+def test_unbounded_profile_against_forward_scans(spark, small):
+    """Every pair is the best arrival from its departure, without a later departure that arrives no later."""
+    got = defaultdict(list)
+    for r in QUERIES["d27_unbounded_profile"](spark, small).collect():
+        got[r["query_id"]].append((r["departure_secs"], r["arrival_secs"]))
+    assert got
+    for pairs in got.values():
+        pairs.sort()
+        assert all(a < b and x < y for (a, x), (b, y) in zip(pairs, pairs[1:]))
+    best = {r["query_id"]: r["departure_secs"] for r in QUERIES["d28_latest_departure"](spark, small).collect()}
+    assert all(max(p)[0] == best[query] for query, p in got.items() if query in best)
