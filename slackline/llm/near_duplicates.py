@@ -10,6 +10,8 @@ A bucket's pairs aren't all compared. First each member is compared with the buc
 the member with most company over all its buckets. A group of copies becomes one component
 that way. Then all pairs of a bucket that are still in different components follow, block
 against block inside tasks that return links only, so no link between candidates is lost.
+Members in a bucket's largest component meet only the blocks of those outside it, and large
+buckets with one such component, which mostly hold the same members, are compared as one.
 
 With 32 bands of 5 minima a pair at similarity 0.85 is missed as a candidate with a chance of
 7e-9, one at 0.80 with 3e-6; 64-bit hashes stand for shingles.
@@ -34,7 +36,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -165,34 +167,65 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, p: NearParam
     return storage.written(pairs.join(sides[0], "a").join(sides[1], "b").filter(close).select("a", "b"), "near-links")
 
 
+def _blocks(mine: Column) -> Column:
+    """Into how many blocks those rows of a group are cut."""
+    return F.greatest(F.ceil(F.count_if(mine) / BLOCK), F.ceil(F.coalesce(F.sum(F.when(mine, F.col("n_shingles"))), F.lit(0)) / BLOCK_SHINGLES)).cast("int")
+
+
+def _dealt(rows: DataFrame, *by: str) -> DataFrame:
+    """Of groups with members outside their home: blocks of all (_k), of members outside (_out) and at home (_in), and rows once dealt."""
+    out, every = F.col("c") != F.col("home"), F.lit(True)
+    found = rows.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(out).alias("_far"), _blocks(every).alias("_k"), _blocks(out).alias("_out"), _blocks(~out).alias("_in"))
+    across = F.col("_far") * (F.col("_out") + F.col("_in")) + (F.col("n") - F.col("_far")) * F.col("_out")
+    return found.filter("_far > 0 and n > 2").select(*by, "_k", "_out", "_in", F.when(F.col("_k") > 1, across).otherwise(F.col("n")).alias("_rows"))
+
+
 def _cells(members: DataFrame, placed: DataFrame) -> DataFrame:
-    """(key, i, j, node, c, own): members of buckets that are still in several components, dealt to pairs of blocks.
-    placed: the component of every node that isn't its component's smallest."""
+    """(united, key, i, j, node, c, own): members of buckets that are still in several components, dealt to pairs of blocks.
+    placed: the component of every node that isn't its component's smallest.
+
+    A bucket's home is the component that most of its members are in. Members at home have no one to be compared with there, so they go
+    only to the blocks of those outside. Buckets of more than one block with one home are mostly the same members over again: they are
+    united, each member dealt once, where that makes fewer rows."""
     now = members.join(placed, "node", "left").select("key", "node", "n_shingles", F.coalesce("component", "node").alias("c"))
     now = storage.written(now, "near-now")
-    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
-    open_ = now.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n"), blocks.alias("_k"))
-    open_ = storage.written(open_.filter("c0 <> c1 and n > 2").select("key", "_k"), "near-open")
-    rows = now.join(open_, "key").withColumn("_i", F.pmod(F.xxhash64("node"), F.col("_k")).cast("int"))
-    rows = rows.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
-    return rows.select("key", F.least("_i", "_j").alias("i"), F.greatest("_i", "_j").alias("j"), "node", "c", F.col("_i").alias("own"))
+    most = now.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("c", F.struct("n", -F.col("c"))).alias("home"), F.count("*").alias("_parts"))
+    homes = storage.written(most.filter("_parts > 1").drop("_parts"), "near-homes")
+    now = storage.written(now.join(homes, "key"), "near-apart")
+    open_ = storage.written(_dealt(now, "key", "home"), "near-open")
+    wide = open_.filter("_k > 1")
+    family = storage.written(now.join(wide.select("key"), "key", "left_semi").select("home", "node", "n_shingles", "c").distinct(), "near-family")
+    apart = wide.groupBy("home").agg(F.sum("_rows").alias("_apart"), F.count("*").alias("_buckets"))
+    united = storage.written(_dealt(family, "home").join(apart, "home").filter("_buckets > 1 and _rows < _apart").drop("_rows", "_apart", "_buckets"), "near-united")
+    alone = storage.written(open_.join(united.select("home", F.lit(True).alias("_united")), "home", "left").filter("_k = 1 or _united is null").select("key", "_k", "_out", "_in"), "near-alone")
+
+    columns = ["united", "key", "node", "c", "home", "_k", "_out", "_in"]
+    rows = now.join(alone, "key").withColumn("united", F.lit(False)).select(*columns)
+    rows = rows.unionByName(family.join(united, "home").withColumn("united", F.lit(True)).withColumn("key", F.col("home")).select(*columns))
+    out, one, spread = F.col("c") != F.col("home"), F.col("_k") == 1, F.xxhash64("node")
+    own = F.when(one, 0).when(out, F.pmod(spread, F.col("_out"))).otherwise(F.col("_out") + F.pmod(spread, F.col("_in")))
+    others = F.when(one, 1).when(out, F.col("_out") + F.col("_in")).otherwise(F.col("_out"))
+    rows = rows.withColumn("_i", own.cast("int")).withColumn("_j", F.explode(F.sequence(F.lit(0), others - 1)))
+    return rows.select("united", "key", F.least("_i", "_j").alias("i"), F.greatest("_i", "_j").alias("j"), "node", "c", F.col("_i").alias("own"))
 
 
 def _cell_pairs(table: pa.Table, p: NearParameters) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Nodes of one pair of blocks, and the places of the pairs in it that aren't ruled out: those in different
-    components, of similar size and signature, whose first common bucket this is."""
+    components, of similar size and signature, whose first common bucket this is, or that have one where buckets are united."""
     column = {c: table.column(c).combine_chunks() for c in table.column_names}
     flat = lambda c: np.asarray(column[c].to_numpy(zero_copy_only=False))
     node, c, own, size = (flat(x) for x in ("node", "c", "own", "n_shingles"))
     keys = np.array(column["keys"].to_pylist(), np.int64)
     signature = np.frombuffer(b"".join(column["signature"].to_pylist()), "<u2").reshape(len(node), -1)
     key, i, j = (int(flat(x)[0]) for x in ("key", "i", "j"))
-    band, least = int((keys == key).all(0).argmax()), int(p.functions * (p.percent / 100 - p.margin))
+    united, least = flat("united")[0], int(p.functions * (p.percent / 100 - p.margin))
+    band = None if united else int((keys == key).all(0).argmax())
     found: list[tuple[np.ndarray, np.ndarray]] = []
     for x in range(len(node)):
         y = np.flatnonzero((c != c[x]) & (node > node[x]) if i == j else (c != c[x]) & (own == j)) if own[x] == i else np.empty(0, int)
         y = y[(100 * size[y] >= p.percent * size[x]) & (100 * size[x] >= p.percent * size[y])]
-        y = y[(keys[y] == keys[x]).argmax(1) == band]
+        common = keys[y] == keys[x]
+        y = y[common.any(1) if united else common.argmax(1) == band]
         y = y[(signature[y] == signature[x]).sum(1) >= least]
         found.append((np.full(len(y), x), y))
     return node, *(np.concatenate(z) for z in zip(*found, strict=True))
@@ -202,7 +235,7 @@ def _left_over(members: DataFrame, placed: DataFrame, nodes: DataFrame, texts: D
     """Links (a, b) between components among all pairs of a bucket, block against block; only links leave a task.
 
     The signatures come first, and only nodes of pairs they don't rule out come with their sets."""
-    cell = ["key", "i", "j"]
+    cell = ["united", "key", "i", "j"]
     cells = _cells(members, placed).join(nodes.select("node", "n_shingles", "keys", "signature"), "node")
 
     def candidates(table: pa.Table) -> pa.Table:
