@@ -91,3 +91,12 @@ def test_shuffles_grow_with_rides(spark, number, n):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert few == n ** (number + 1) and many == (2 * n) ** (number + 1)
     assert 0 < wrote_twice <= 2.2 * wrote
+
+
+@pytest.mark.parametrize("name", ["j16_two_transfers", "j17_three_transfers"])
+def test_rides_meet_by_place_only(spark, small, name):
+    """No join compares stops or times of rides that its keys bring together: those that may follow each other are read as ranges."""
+    from slackline.queries import QUERIES
+
+    joins = [line for line in QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in line]
+    assert joins and not [j for j in joins if "<=" in j or ">=" in j]
